@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import os
 import re
 import tempfile
 import uuid
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: Rows in a batch that goes to Python: whole texts are long, and a task holds a few batches.
+ARROW_ROWS = 2000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -143,57 +150,105 @@ def tokenizer_file(name_or_path: str) -> str:
     return str(public_tokenizers.path(name_or_path))
 
 
+#: White space other than space and line feed (fixed values).
+_RARE_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
+
 class CachedTokenizer:
     """``tokenizers`` ids of whole texts, with the ids of frequent chunks remembered.
 
     Both vocabularies never merge across certain spaces, so a text is cut there and each distinct chunk
-    is encoded once per worker; beyond ``limit`` remembered chunks the memory starts afresh.
-    A text in which such a cut could change an id is encoded in one piece.
+    is encoded once per worker; beyond ``limit`` remembered chunks the memory starts afresh. New chunks are encoded many
+    at a time, with a separator between them whose id no chunk can have. A text in which such a cut could change an id
+    is encoded in one piece.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit; its threads would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(path))
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # it would only see chunks that are new
         self.cache: dict[str, bytes] = {}
         self.limit = limit
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         self.keeps_space = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        # a space between white space on both sides, or at the end of a run, belongs to its neighbours
-        self.whole = re.compile(r"\s \s|\s \Z|<\|") if self.keeps_space else re.compile(r"<\|")
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        kind = self.dtype
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        # a cut before each space and line feed is safe, but within longer runs of white space
+        self.whole = re.compile(r"\s{3}|\s{2}\Z|<\||\0") if self.keeps_space else re.compile(r"<\|")
+        self.between = "\n" if self.keeps_space else " | "
+        mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str], group: int = 64) -> None:
+        cache, mark = self.cache, "\n" if self.keeps_space else "|"
+        alone = [c for c in chunks if self.mark is None or not c or mark in c or c[0] == "\0" or c[-1].isspace()]
+        if alone:
+            skip = set(alone)
+            chunks = [c for c in chunks if c not in skip]
+            for c, ids in zip(alone, self._ids(list(map(self._text, alone))), strict=True):
+                cache[c] = ids.tobytes()
+        size = np.dtype(self.dtype).itemsize
+        between = self.between + " " if self.keeps_space else self.between
+        first = " " if self.keeps_space else ""
+        groups = [chunks[i : i + group] for i in range(0, len(chunks), group)]
+        for some, ids in zip(groups, self._ids([first + between.join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(some) - 1:
+                for c, own in zip(some, self._ids(list(map(self._text, some))), strict=True):
+                    cache[c] = own.tobytes()
+                continue
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(some, (cuts * size).tolist(), strict=False):
+                cache[c] = data[at:cut]
+                at = cut + size
+            cache[some[-1]] = data[at:]
+
+    def _text(self, chunk: str) -> str:
+        """What a chunk stands for: most have lost the space before them."""
+        if not self.keeps_space or chunk[:1] == "\n":
+            return chunk
+        return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+
+    def _odd(self, text: str) -> bool:
+        """Whether the text must be encoded in one piece; the quick tests spare most texts the pattern."""
+        if self.keeps_space:
+            runs = "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\0" in text
+            if not (runs or "<|" in text or any(map(text.__contains__, _RARE_SPACE))):
+                return False
+        elif "<|" not in text:
+            return False
+        return self.whole.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cache, whole = self.cache, self.whole
+        cache = self.cache
         if len(cache) > self.limit:
             cache.clear()
         pieces: list[list[str] | None] = []
-        missing: dict[str, None] = {}
+        seen: set[str] = set()
         for text in texts:
-            if whole.search(text):
+            if self._odd(text):
                 pieces.append(None)
                 continue
             if self.keeps_space:
-                cut = text.split(" ")
-                parts = [cut[0], *[" " + x for x in cut[1:]]]
+                parts = text.replace("\n", " \n").split(" ")
+                parts[0] = "\0" + parts[0]  # it has no space before it
             else:
                 parts = text.replace("\n", " ").split(" ")
             pieces.append(parts)
-            for p in parts:
-                if p not in cache:
-                    missing[p] = None
-        cache.update(zip(missing, self._encode(list(missing)), strict=True))
+            seen.update(parts)
+        self._learn(list(seen.difference(cache)))
         get = cache.__getitem__
         out = []
         for text, parts in zip(texts, pieces, strict=True):
-            data = self._encode([text])[0] if parts is None else b"".join(map(get, parts))
-            out.append(np.frombuffer(data, dtype=self.dtype).astype(np.uint32))
+            if parts is None:
+                out.append(self._ids([text])[0].astype(np.uint32))
+            else:
+                out.append(np.frombuffer(b"".join(map(get, parts)), dtype=self.dtype).astype(np.uint32))
         return out
 
 

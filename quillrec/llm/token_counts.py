@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cached_tokenizer, documents, slices, text_of, tokenizer_file
+from .common import cached_tokenizer, documents, slices, stored, text_of, tokenizer_file
 
 
 def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_ids: int = 0) -> DataFrame:
@@ -37,6 +37,7 @@ def length_histogram(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
     so no single task orders all lengths.
     """
     hist = lengths(docs, tokenizer, end_ids).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    hist = stored(hist, "lengths")  # read more than once below
     hist = hist.withColumn("r", F.floor(F.col("n_tokens") / width)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     totals = hist.groupBy("r").agg(F.sum("n_docs").alias("rd"), F.sum("t").alias("rt"))
     zero, first, last = F.lit(0), Window.unboundedPreceding, Window.unboundedFollowing

@@ -41,7 +41,7 @@ def test_cached_ids_equal_the_library(name):
 _TOKS = {}
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(st.text(alphabet=" \n\t\r\x0b ab'1.É́<|>ß", max_size=24), st.sampled_from(["word_bpe_49k.json", "byte_bpe_50k.json"]))
 def test_cached_ids_equal_the_library_on_any_spacing(text, name):
     tok = _TOKS.setdefault(name, CachedTokenizer(name))
