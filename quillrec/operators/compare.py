@@ -69,7 +69,8 @@ def differing_values(left: DataFrame, right: DataFrame, keys: Sequence[str], col
         for i, c in enumerate(columns)
     ]
     joined = a.join(b, same)
-    out = joined.select(*(F.col(f"ak{i}").alias(k) for i, k in enumerate(keys)), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("cell"))
+    found = F.filter(F.array(*cells).cast("array<struct<column:string,left:string,right:string>>"), lambda x: x.isNotNull())
+    out = joined.select(*(F.col(f"ak{i}").alias(k) for i, k in enumerate(keys)), F.explode(found).alias("cell"))
     return out.select(*(f"`{k}`" for k in keys), "cell.column", "cell.left", "cell.right")
 
 

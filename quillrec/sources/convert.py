@@ -113,6 +113,7 @@ def _decode_to(spark: SparkSession, layout: Layout, input_path, folder: str, tot
     try:
         writer.parquet(folder)
     except Exception as e:
+        shutil.rmtree(folder, ignore_errors=True)  # it was new, and the commit never came
         error = first_error(records, layout)
         if error is None:
             raise ConversionError("Parquet", source=e) from e
