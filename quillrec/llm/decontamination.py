@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, slices, text_of
 
 #: ASCII punctuation and control characters separate words; A-Z is lower-cased; other bytes stay.
 _TABLE = bytes(32 if i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 128 else i + 32 if 65 <= i < 91 else i for i in range(256))
@@ -40,42 +40,55 @@ def windows(ids: list, width: int) -> set:
 class Index:
     """Postings of entries (pieces of items of at most ``piece`` words), in blocks with their largest impacts.
 
-    The impact of a term in an entry is its BM25 weight over the share ``least`` of the entry's own score, so that an
-    entry's threshold is 1, and block maxima hold for entries of any length.
+    The impact of a term in an entry is its BM25 weight over the entry's threshold, so that every threshold is 1 and block
+    maxima hold for entries of any length. An entry's threshold follows from ``overlap``: a text that holds that share
+    of an item's windows lacks at most ``missing`` of its words, so one of its entries lacks at most that over
+    the number of entries; what the entry scores without its heaviest such terms is the threshold. So nothing that the
+    verification would accept is missed.
     """
 
-    K1, B, BLOCK = 1.2, 0.75, 16
+    K1, B, BLOCK = 1.2, 0.75, 4
 
-    def __init__(self, items: list[tuple[int, str]], least: float = 0.4, piece: int = 32, width: int = 5):
-        self.items, self.width, self.piece = [], width, piece
-        entries: list[tuple[int, Counter]] = []
+    def __init__(self, items: list[tuple[int, str]], overlap: float = 0.8, piece: int = 24, chunk: int = 32, width: int = 5):
+        self.items, self.width, self.chunk = [], width, chunk
+        entries: list[tuple[int, Counter, int]] = []
         for item_id, text in items:
             all_words = words(text or "")
             if not all_words:
                 continue
             question, answer = question_and_answer(text)
             self.items.append((item_id, windows(question, width), windows(answer, width), min(width, len(question)), min(width, len(answer))))
+            parts = [question] if question == answer else [question, answer]
+            # k windows cover at least k + width - 1 words, each of a repeated window's places being one more
+            missing = sum(int((1 - overlap) * max(len(p) - width + 1, 0) + 1e-9) for p in parts)
             count = max(1, math.ceil(len(all_words) / piece))
             size = math.ceil(len(all_words) / count)
-            entries += [(len(self.items) - 1, Counter(all_words[i : i + size])) for i in range(0, len(all_words), size)]
+            cut = [all_words[i : i + size] for i in range(0, len(all_words), size)]
+            entries += [(len(self.items) - 1, Counter(c), missing // len(cut)) for c in cut]
         self.item_of = [e[0] for e in entries]
-        df = Counter(w for _, c in entries for w in c)
-        mean = sum(sum(c.values()) for _, c in entries) / max(len(entries), 1)
+        df = Counter(w for _, c, _ in entries for w in c)
+        mean = sum(sum(c.values()) for _, c, _ in entries) / max(len(entries), 1)
         self.term: dict[bytes, int] = {w: i for i, w in enumerate(sorted(df))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for e, (_, counts) in enumerate(entries):
+        for e, (_, counts, lost) in enumerate(entries):
             length = sum(counts.values())
             weight = {}
             for w, tf in counts.items():
                 idf = math.log(1 + (len(entries) - df[w] + 0.5) / (df[w] + 0.5))
                 weight[w] = idf * tf * (self.K1 + 1) / (tf + self.K1 * (1 - self.B + self.B * length / mean))
-            own = sum(weight.values()) * least
+            heavy = sorted(weight.values(), reverse=True)
+            own = max(sum(heavy[lost:]), 0.1 * sum(heavy)) * (1 - 1e-6)
             for w, x in weight.items():
                 lists[self.term[w]].append((e, x / own))
         self.entry = [[e for e, _ in p] for p in lists]
         self.impact = [[x for _, x in p] for p in lists]
         self.block_max = [[max(p[i : i + self.BLOCK]) for i in range(0, len(p), self.BLOCK)] for p in self.impact]
         self.best = np.array([max(p) for p in self.impact] + [0.0])  # the last stands for unknown words
+        # upper bounds by range of entries, for whole passages at a time: at most 128 ranges
+        self.span = max(4, math.ceil(len(entries) / 128))
+        self.bound = np.zeros((len(self.term) + 1, max(1, math.ceil(len(entries) / self.span))), dtype=np.float32)
+        for t, (es, xs) in enumerate(zip(self.entry, self.impact, strict=True)):
+            np.maximum.at(self.bound[t], np.array(es) // self.span, np.array(xs, dtype=np.float32))
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All entries whose summed impact over these distinct terms is at least 1, by block-max WAND."""
@@ -125,39 +138,52 @@ class Index:
             cursors = kept + cursors[pivot + 1 :]
         return found
 
-    def candidates(self, doc: list[bytes]) -> dict[int, float]:
-        """Items of which a passage of the text scores above the threshold, with the best share of the entry's own score.
+    def candidates(self, docs: list[list[bytes]]) -> list[dict[int, float]]:
+        """For each text the items of which a passage scores above the threshold, with the best such score.
 
-        Passages are ``2 * piece`` words at every ``piece``: each run of ``piece`` words lies in one of them. Passages whose summed
-        upper bounds stay under 1 cannot hold a hit and are not searched.
+        Passages are two neighbouring chunks of ``chunk`` words: any run of chunk + 1 words lies in one. A passage is
+        searched only if the summed block bounds of its terms reach the threshold in some range of entries.
         """
-        get, unknown, step = self.term.get, len(self.term), self.piece
-        ids = np.fromiter((get(w, unknown) for w in doc), np.int64, len(doc))
-        sums = np.concatenate(([0.0], np.cumsum(self.best[ids])))
-        starts = np.arange(0, max(len(ids) - step, 1), step)
-        bounds = sums[np.minimum(starts + 2 * step, len(ids))] - sums[starts]
-        out: dict[int, float] = {}
-        for s in starts[bounds >= 1 - 1e-6].tolist():
-            terms = np.unique(ids[s : s + 2 * step])
-            terms = terms[terms != unknown]
-            if self.best[terms].sum() < 1 - 1e-6:
-                continue
-            for e, score in self.search(terms.tolist()):
+        out: list[dict[int, float]] = [{} for _ in docs]
+        if not self.item_of:
+            return out
+        get, unknown = self.term.get, len(self.term)
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        ids = np.fromiter((get(w, unknown) for d in docs for w in d), np.int64, int(lengths.sum()))
+        chunks = np.maximum(-(-lengths // self.chunk), 1)
+        first = np.concatenate(([0], np.cumsum(chunks)))
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = (np.repeat(first[:-1], lengths) + place // self.chunk) * (unknown + 1) + ids
+        key = np.unique(key[ids != unknown])
+        chunk, term = key // (unknown + 1), key % (unknown + 1)
+        at = np.searchsorted(chunk, np.arange(first[-1] + 1))
+        sums = np.zeros((first[-1] + 1, self.bound.shape[1]), dtype=np.float32)
+        filled = np.flatnonzero(at[1:] > at[:-1])
+        if len(filled):
+            sums[filled] = np.add.reduceat(self.bound[term], at[filled], axis=0)
+        owner = np.repeat(np.arange(len(docs)), chunks)
+        together = np.append(owner[1:] == owner[:-1], False)
+        pair = sums[:-1] + sums[1:] * together[:, None]
+        for c in np.flatnonzero(pair.max(axis=1) >= 1 - 1e-3).tolist():
+            last = c + 2 if together[c] else c + 1
+            found = out[owner[c]]
+            for e, score in self.search(np.unique(term[at[c] : at[last]]).tolist()):
                 item = self.item_of[e]
-                out[item] = max(out.get(item, 0.0), score)
+                found[item] = max(found.get(item, 0.0), score)
         return out
 
-    def matches(self, text: str) -> list[tuple[int, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap) of each candidate: shares of the item's word windows in the text."""
-        doc = words(text)
-        found = self.candidates(doc)
-        if not found:
-            return []
-        have = {k: windows(doc, k) for k in {k for i in found for k in self.items[i][3:5]}}
-        out = []
-        for i, score in sorted(found.items()):
-            item_id, question, answer, kq, ka = self.items[i]
-            out.append((item_id, score, len(question & have[kq]) / len(question), len(answer & have[ka]) / len(answer)))
+    def matches(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text (item_id, score, question overlap, answer overlap) of its candidates: shares of the item's word windows in the text."""
+        out: list[list[tuple[int, float, float, float]]] = []
+        for a, b in slices(texts, 300_000):
+            docs = [words(t) for t in texts[a:b]]
+            for doc, found in zip(docs, self.candidates(docs), strict=True):
+                have = {k: windows(doc, k) for k in {k for i in found for k in self.items[i][3:5]}}
+                own = []
+                for i, score in sorted(found.items()):
+                    item_id, question, answer, kq, ka = self.items[i]
+                    own.append((item_id, score, len(question & have[kq]) / len(question), len(answer & have[ka]) / len(answer)))
+                out.append(own)
         return out
 
 
@@ -176,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, overlap: float = 0.8, block_
     rows = docs.select("doc_id", text_of().alias("text"))
     for b in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        part = _search(rows, Index(sorted((r.item_id, r.text) for r in some.collect() if r.item_id is not None), width=5), overlap, spark)
+        part = _search(rows, Index(sorted((r.item_id, r.text) for r in some.collect() if r.item_id is not None), overlap), overlap, spark)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -188,8 +214,8 @@ def _search(rows: DataFrame, index: Index, overlap: float, spark) -> DataFrame:
         found = shared.value
         for pdf in batches:
             out = []
-            for has, key, text in zip(pdf["has"], pdf["doc_id"], pdf["text"], strict=True):
-                out += [(int(key) if has else None, *m) for m in found.matches(text) if min(m[2:]) >= overlap]
+            for has, key, own in zip(pdf["has"], pdf["doc_id"], found.matches(pdf["text"].tolist()), strict=True):
+                out += [(int(key) if has else None, *m) for m in own if min(m[2:]) >= overlap]
             if out:
                 frame = pd.DataFrame(out, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
                 yield frame.astype({"doc_id": "Int64"})
@@ -206,14 +232,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, overlap: float = 0.8) -
     blocks = max(1, math.ceil(total / 16_000_000))
     for b in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id or 0, r.text) for r in some.collect())))
-
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not any(min(m[2:]) >= overlap for m in shared.value.matches(t)) for t in texts], dtype=bool)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id or 0, r.text) for r in some.collect()), overlap))
 
-        kept = kept.where(F.pandas_udf(clean, "boolean")(text_of()))
+        kept = kept.where(_clean(shared, overlap)(text_of()))
     return kept
 
 
+def _clean(shared, overlap: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not any(min(m[2:]) >= overlap for m in own) for own in shared.value.matches(texts.tolist())], dtype=bool)
+
+    return clean
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
