@@ -166,7 +166,7 @@ def bigram_counts(docs: DataFrame, head: dict[bytes, int], clustered: int) -> Da
     return docs.select("text").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, docs: DataFrame, clustered: int = 1500, head: int = 250_000, classes: int = 48) -> Model:
+def train(counts: DataFrame, docs: DataFrame, clustered: int = 1200, head: int = 120_000, classes: int = 48) -> Model:
     """Fits the model from ``counts`` (``word_counts`` of the training documents) and ``docs`` (those documents).
 
     The ``clustered`` most frequent words are put into classes by exchange, over bigram counts of the whole training
@@ -175,9 +175,9 @@ def train(counts: DataFrame, docs: DataFrame, clustered: int = 1500, head: int =
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = int(row.n or 0), int(row.v or 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    words = [bytes(r.word) for r in top]
-    number = np.array([r.n for r in top], dtype=np.int64)
+    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    words, number = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    del top
     if END in words:  # it must be clustered
         at = words.index(END)
         words.insert(0, words.pop(at))
@@ -188,9 +188,9 @@ def train(counts: DataFrame, docs: DataFrame, clustered: int = 1500, head: int =
         number = np.concatenate(([shown.n if shown else 0], number)).astype(np.int64)
     clustered = min(clustered, len(words))
     index = {w: i for i, w in enumerate(words)}
-    pairs = bigram_counts(docs, index, clustered).orderBy("a", "b").toPandas()
+    pairs = bigram_counts(docs, index, clustered).toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
     size = clustered + len(SHAPES)
-    a, b, n = (pairs[c].to_numpy(np.int64) for c in ("a", "b", "n"))
+    a, b, n = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
     cls = exchange(a, b, n.astype(float), size, len(SHAPES), classes)
     width = classes + len(SHAPES)
     step = np.full((width, width), 0.5)
@@ -262,7 +262,7 @@ def partial_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("d", "th", "text").mapInPandas(run, schema)
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 1500, head: int = 250_000, classes: int = 48) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 1200, head: int = 120_000, classes: int = 48) -> DataFrame:
     """Scores every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learned from the rows whose fold (crc32 of the doc_id as text, mod 5) is not ``held_out_fold``. Null texts count as
