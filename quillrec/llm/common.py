@@ -7,7 +7,9 @@ import json
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -154,6 +156,24 @@ def tokenizer_file(name_or_path: str) -> str:
 _RARE_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
+#: Letters of the Latin blocks, then ASCII punctuation but the apostrophe; the byte-level alphabet: bytes that do not
+#: print stand as characters from U+0100 on.
+_PLAIN = re.compile("([A-Za-z\xaa-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are Latin-1: lower() then does what the tokenizer's normaliser would do."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class CachedTokenizer:
     """``tokenizers`` ids of whole texts, with the ids of frequent chunks remembered.
 
@@ -163,7 +183,7 @@ class CachedTokenizer:
     is encoded in one piece.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit; its threads would only spin
         from tokenizers import Tokenizer
 
@@ -175,8 +195,10 @@ class CachedTokenizer:
         spec = json.loads(self.tokenizer.to_str())
         self.keeps_space = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         # a cut before each space and line feed is safe, but within longer runs of white space
         self.whole = re.compile(r"\s{3}|\s{2}\Z|<\||\0") if self.keeps_space else re.compile(r"<\|")
+        self.tails: dict[str, bytes] = {}
         self.between = "\n" if self.keeps_space else " | "
         mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -184,7 +206,48 @@ class CachedTokenizer:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _quick(self, chunks: list[str]) -> list[str]:
+        """Encodes plain words, and plain words before punctuation, straight by the merge model; returns the other chunks.
+
+        Both splitters part a run of letters from the ASCII punctuation after it (an apostrophe could open a contraction, so it
+        is left to them). What their byte step would do to the letters is done here; letters beyond Latin are left too.
+        """
+        cache, pack, space, rest = self.cache, self._pack, chr(_BYTE_CHARS[32]) if self.keeps_space else "", []
+        tokenize, tails, of_byte = self.tokenizer.model.tokenize, self.tails, _BYTE_CHARS
+        for c in chunks:
+            m = _PLAIN(c)
+            word = m and m[1]
+            if not word or not word.isalpha():
+                rest.append(c)
+                continue
+            if not self.keeps_space:
+                if word.isascii():
+                    word = word.lower()
+                elif not word.islower() or not unicodedata.is_normalized("NFC", word):
+                    rest.append(c)
+                    continue
+            tail = m[2]
+            base = cache.get(word) if tail else None
+            if base is None:
+                text = space + (word if word.isascii() else word.encode().decode("latin-1").translate(of_byte))
+                base = pack([t.id for t in tokenize(text)])
+                cache[word] = base
+            if tail:
+                end = tails.get(tail)
+                if end is None:
+                    if len(tails) > 50_000:
+                        tails.clear()
+                    end = tails[tail] = pack([t.id for t in tokenize(tail)])
+                cache[c] = base + end
+            elif word != c:
+                cache[c] = base
+        return rest
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _learn(self, chunks: list[str], group: int = 64) -> None:
+        chunks = self._quick(chunks)
         cache, mark = self.cache, "\n" if self.keeps_space else "|"
         alone = [c for c in chunks if self.mark is None or not c or mark in c or c[0] == "\0" or c[-1].isspace()]
         if alone:
@@ -237,8 +300,10 @@ class CachedTokenizer:
             if self.keeps_space:
                 parts = text.replace("\n", " \n").split(" ")
                 parts[0] = "\0" + parts[0]  # it has no space before it
-            else:
+            elif any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # white space to split(), not to the tokenizer
                 parts = text.replace("\n", " ").split(" ")
+            else:
+                parts = (text.lower() if _is_latin(text) else text).split()
             pieces.append(parts)
             seen.update(parts)
         self._learn(list(seen.difference(cache)))
@@ -258,7 +323,7 @@ def cached_tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> list[tuple[int, int]]:
+def slices(texts: list[str], most: int = 2_000_000) -> list[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most`` characters; one longer text is a range of its own."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):
