@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cached_tokenizer, documents, new_path, slices, text_of, tokenizer_file
 
 MAGIC, VERSION = b"QPFR", 1
-BLOCK = 512
+BLOCK = 4096
 _HEAD = struct.Struct("<4sHHIQI")
 _BLOCK = struct.Struct("<IBHH")
 
@@ -37,12 +37,13 @@ def pack_block(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     """One block of up to 65,535 ids (unsigned 32-bit)."""
     ids = np.asarray(ids, dtype=np.uint32)
     low = int(ids.min())
-    diff = (ids - np.uint32(low)).astype(np.uint64)
-    need = int(np.sort(diff)[min(len(diff) - 1, int(len(diff) * percentile / 100))])
-    width = need.bit_length()
-    bits = (diff[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    high = diff >> np.uint64(width)
+    diff = ids - np.uint32(low)
+    at = min(len(diff) - 1, int(len(diff) * percentile / 100))
+    width = int(np.partition(diff, at)[at]).bit_length()
+    wide = diff.astype("<u2") if width <= 16 else diff  # the low bits are all that is packed
+    bits = np.unpackbits(wide.view(np.uint8), bitorder="little").reshape(len(ids), -1)[:, :width]
+    packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
+    high = diff >> np.uint32(width) if width < 32 else np.zeros_like(diff)
     at = np.flatnonzero(high)
     return (
         _BLOCK.pack(low, width, len(ids), len(at))
@@ -58,8 +59,10 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int
     at += _BLOCK.size
     size = (n * width + 7) // 8
     if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width)
-        diff = bits.reshape(n, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+        kind = "<u2" if width <= 16 else "<u4"
+        bits = np.zeros((n, 16 if width <= 16 else 32), dtype=np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
+        diff = np.packbits(bits.ravel(), bitorder="little").view(kind)
     else:
         diff = np.zeros(n, dtype=np.uint32)
     at += size
@@ -68,7 +71,8 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int
     high = np.frombuffer(data, "<u4", extra, at)
     at += 4 * extra
     diff = diff.astype(np.uint32)
-    diff[where] |= high << np.uint32(width)
+    if extra:
+        diff[where] |= high << np.uint32(width)
     return diff + np.uint32(low), at
 
 
@@ -160,10 +164,12 @@ def write_token_shards(
         if names:
             yield row()
 
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has"), "text")
     )
     ranged.mapInPandas(encode, "part int, shard int, n_ids long, n_docs long, image binary").write.option(
