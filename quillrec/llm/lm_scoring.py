@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -166,16 +167,30 @@ def bigram_counts(docs: DataFrame, head: dict[bytes, int], clustered: int) -> Da
     return docs.select("text").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The lowest of a row of bounds (about an eighth of a power of two apart) that at most ``most`` words reach."""
+    step = F.floor(F.log2("n") * 8 + 1e-9)
+    found = {int(r.s): r.c for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()}
+    least, seen = 2**62, 0
+    for s in sorted(found, reverse=True):
+        seen += found[s]
+        if seen > most:
+            break
+        least = math.ceil(2 ** (s / 8) - 1e-6)
+    return least
+
+
 def train(counts: DataFrame, docs: DataFrame, clustered: int = 1200, head: int = 120_000, classes: int = 48) -> Model:
     """Fits the model from ``counts`` (``word_counts`` of the training documents) and ``docs`` (those documents).
 
     The ``clustered`` most frequent words are put into classes by exchange, over bigram counts of the whole training
     part (at most (clustered + 5) squared pairs reach the driver). All other words belong to one of five classes by their shape.
-    The counts of the ``head`` most frequent words are kept in the model, so a task looks most words up by itself.
+    The counts of at most ``head`` of the most frequent words are kept in the model, so a task looks most words up by
+    itself. Those words are found by a bound on their counts: nothing is ordered in one task.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = int(row.n or 0), int(row.v or 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = counts.where(F.col("n") >= _least_count(counts, head)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, number = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
     del top
     if END in words:  # it must be clustered
