@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, documents, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns; a look-behind lets a run of characters be tried only from its start, or where the last match ended.
+#: The base patterns. Nothing after a loop could make it give back what it took, so loops are possessive: groups then repeat
+#: without recursion, whatever the text's length. A look-behind lets a run of characters be tried only from its start, or where the last match ended.
 _MAIL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
-    "email": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "email": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must contain to be searched for a kind at all.

@@ -1,0 +1,112 @@
+"""Personal data against Python patterns; contexts; redaction."""
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillrec.llm import pii
+
+SF = "/root/testdata/sf0.01"
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+ODD = [
+    None, "", "a", "x@y.z", "a@b.c.d@e.f g@h", "a@b.cd+x@y.z", "1.2.3.4 256.1.1.1 01.002.0003.000255 1.2.3.4.5", "4539 1488 0343 6467, 4539148803436468 4539-1488-0343-6467",
+    "+1 (743) 555-3824 +12 +1234567890123456 +1 2 3 4 5 6 7 8 9", "ñé 😀 mail.10@x9.example.com, 10.0.0.1!", "no digits@ here", "9" * 3000, "a" * 5000 + "@" + "b" * 4000,
+    "0 0 0 0 0 0 0 0 0 0 0 0", "é" * 70 + " 1.1.1.1 " + "ß" * 90 + "\n2.2.2.2", "a@b.c" * 3, "+1 555 0000 00 +1 555 0000 00",
+]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def good(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    spans = [(m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if good(kind, m[0])]
+    return sorted(spans)
+
+
+def check(rows, docs):
+    want = {}
+    for d, t in docs:
+        spans = brute(t)
+        base = ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in spans)
+        want[d] = ([sum(x[2] == k for x in spans) for k in BASE], hashlib.sha256(base.encode()).hexdigest(), base)
+    assert len(rows) == len(docs)
+    for r in rows:
+        n, digest, base = want[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == n and r.base_sha256 == digest, r
+        shown = r.spans.split(",") if r.spans else []
+        assert [s for s in shown if not s.startswith("context")] == (base.split(",") if base else [])
+        assert len(shown) == sum(n) + r.n_context
+
+
+def frame(spark, docs):
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_whole_table(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    check(pii.personal_data(df).collect(), [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+
+
+def test_odd_texts(spark):
+    docs = list(enumerate(ODD))
+    check(pii.personal_data(frame(spark, docs)).collect(), docs)
+    assert pii.personal_data(frame(spark, [])).count() == 0
+    same = pii.personal_data(frame(spark, [(None, ODD[6]), (1, ODD[6]), (1, ODD[6]), (1, "x@y.z")])).collect()
+    assert sorted((str(r.doc_id), r.n_ip, r.n_email) for r in same) == [("1", 0, 1), ("1", 3, 0), ("1", 3, 0), ("None", 3, 0)]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="0123459 +-.@()aé\n", max_size=50), min_size=40, max_size=80))
+def test_any_text(spark, texts):
+    docs = list(enumerate(texts))
+    check(pii.personal_data(frame(spark, docs)).collect(), docs)
+
+
+def test_contexts_give_away_other_identifiers(spark):
+    docs = [(i, f"Please write to Employee contact: p{i}x@corp.example.com today") for i in range(40)]
+    docs += [(100 + i, f"see Employee contact: emp-{7000 + i}@intranet now") for i in range(3)]
+    docs += [(200 + i, f"Version number {20000 + i} is out") for i in range(40)]
+    rows = {r.doc_id: r for r in pii.personal_data(frame(spark, docs)).collect()}
+    for i in range(3):
+        text = docs[40 + i][1]
+        start = text.index("emp-")
+        assert rows[100 + i].spans == f"context:{start}:{start + len('emp-7000@intranet')}" and rows[100 + i].n_context == 1
+    assert not any(rows[200 + i].spans for i in range(40)) and all(rows[i].n_email == 1 and rows[i].n_context == 0 for i in range(40))
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, docs)).collect()}
+    assert clean[0] == "Please write to Employee contact: <email> today" and clean[101] == "see Employee contact: <context> now" and clean[205] == docs[48][1]
+
+
+def test_redaction(spark):
+    rows = [(1, "ñ x@y.z, 10.0.0.1! +1 (743) 555-3824", "a", 3), (None, "card 4539 1488 0343 6467", "b", 4), (2, "plain", None, 5), (3, None, "c", 0), (3, "a@b.c 4539148803436467", "d", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    out = pii.redact(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    got = {r.lang: (r.doc_id, r.text, r.n_chars) for r in out.collect()}
+    assert got == {"a": (1, "ñ <email>, <ip>! <phone>", 24), "b": (None, "card <card>", 11), None: (2, "plain", 5), "c": (3, None, 0), "d": (3, "<email> <card>", 14)}
+    assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "Python" not in pii.personal_data(df)._jdf.queryExecution().executedPlan().toString()
