@@ -318,9 +318,9 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=4)
-def cached_tokenizer(path: str) -> CachedTokenizer:
-    """One per Python worker and vocabulary."""
-    return CachedTokenizer(path)
+def cached_tokenizer(path: str, limit: int = 600_000) -> CachedTokenizer:
+    """One per Python worker and vocabulary. About 250 bytes for each of ``limit`` chunks."""
+    return CachedTokenizer(path, limit)
 
 
 def slices(texts: list[str], most: int = 2_000_000) -> list[tuple[int, int]]:

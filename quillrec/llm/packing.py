@@ -86,7 +86,7 @@ def pack(
 
         base = TaskContext.get().partitionId() << 36
         bins = BestFit(capacity, open_bins)
-        tok = cached_tokenizer(path)
+        tok = cached_tokenizer(path, 1_200_000)  # no shuffle competes for memory here
         end = np.array([end_id], dtype=np.uint32)
         held: list[tuple] = []
 

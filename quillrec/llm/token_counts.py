@@ -17,7 +17,7 @@ def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_ids: int
     path = tokenizer_file(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = cached_tokenizer(path)
+        tok = cached_tokenizer(path, 1_200_000)  # no shuffle competes for memory here
         for pdf in batches:
             texts = pdf["text"].tolist()
             sizes = [len(x) for a, b in slices(texts) for x in tok.encode(texts[a:b])]
