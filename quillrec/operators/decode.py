@@ -13,7 +13,7 @@ from quillrec.errors import DecodeError
 from quillrec.functions.codecs import decode_field
 from quillrec.plans.layout import PACKED, TEXT, Field, Layout, validate_layout
 
-ERROR_COLUMN = "_error"
+ERROR_COLUMN, _RAW, _HERE = "_error", "__quillrec_record", "__quillrec_here"
 
 
 def error_of(record: Column, layout: Layout) -> Column:
@@ -42,7 +42,8 @@ def error_of(record: Column, layout: Layout) -> Column:
 def decode(df: DataFrame, layout: Layout, record: str = "record", errors: str = "raise", keep: tuple[str, ...] = (), naming: str = "path") -> DataFrame:
     """Decodes a column of fixed-length binary records into the layout's columns.
 
-    errors="raise": any invalid field of any record fails the query, even where its column is not selected.
+    errors="raise": any invalid field of any record that the query reaches fails it, even where its column is not selected
+    or a filter would drop the row; a limit may stop before it.
     errors="column": bad values are null and ``_error`` has the record's first error (struct of field, kind, byte, offset,
     code, value). errors="ignore": bad values are null. ``keep`` names columns of ``df`` to carry along;
     naming="leaf" gives plain upper-case names and refuses clashes. A null record is one of a wrong length.
@@ -50,18 +51,19 @@ def decode(df: DataFrame, layout: Layout, record: str = "record", errors: str =
     validate_layout(layout)
     rec = F.col(record)
     names = layout.leaf_names() if naming == "leaf" else {c.name: c.name for c in layout.columns}
-    sized = F.coalesce(F.octet_length(rec), F.lit(-1)) == layout.record_length
-    if errors == "raise":
-        # a number's value is null just where it is invalid. The message stays small, so the filter's generated code is
-        # compiled; first_error names field and byte.
-        text = F.concat(F.lit("invalid record (see first_error): "), F.coalesce(F.left(F.hex(rec), F.lit(512)), F.lit("null")))
-        bad = reduce(or_, [~sized, *(decode_field(rec, f).value.isNull() for f in layout.data_fields if f.encoding != TEXT)])
-        df = df.where(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(True))
     out = [F.col(f"`{k}`") for k in keep]
     out += [decode_field(rec, f).value.alias(names[f.path]) for f in layout.data_fields]
     if errors == "column":
         out.append(error_of(rec, layout).alias(ERROR_COLUMN))
-    return df.select(*out)
+    if errors != "raise":
+        return df.select(*out)
+    rows = df.select(*out, rec.alias(_RAW), F.rand(0).alias(_HERE))
+    sized = F.coalesce(F.octet_length(_RAW), F.lit(-1)) == layout.record_length
+    # A number's value is null just where it is invalid, so the filter looks at the decoded values. The random column keeps
+    # filters, this one and the user's, above the projection: pushed below it they would decode a second time.
+    bad = reduce(or_, [~sized, *(F.col(f"`{names[f.path]}`").isNull() for f in layout.data_fields if f.encoding != TEXT)])
+    text = F.concat(F.lit("invalid record (see first_error): "), F.coalesce(F.left(F.hex(_RAW), F.lit(512)), F.lit("null")))
+    return rows.where(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.col(_HERE) >= 0)).drop(_RAW, _HERE)
 
 
 def decode_error(row, layout: Layout, record_index: int, batch_records: int | None = None) -> DecodeError:

@@ -147,14 +147,9 @@ def test_strict_decoding_checks_columns_that_are_not_selected(spark):
     data[83] = 0x40
     df = spark.createDataFrame([(i, bytearray(data[35 * i : 35 * i + 35])) for i in range(3)], "i int, record binary")
     name = f"`{GROUP}.CUSTOMER-NAME`"
-    for q in (decode(df, layout).select(name), decode(df, layout).groupBy().count(), decode(df, layout, keep=("i",)).where("i = 0").select(name).limit(5)):
-        if "limit" not in str(q):
-            try:
-                q.collect()
-            except Exception as e:  # noqa: BLE001
-                assert "invalid record" in str(e)
-            else:
-                assert q.columns == [f"{GROUP}.CUSTOMER-NAME"]  # a filter by the user may come first
+    for q in (decode(df, layout).groupBy().count(), decode(df, layout, keep=("i",)).where("i = 0").select(name)):
+        with pytest.raises(Exception, match="invalid record"):
+            q.collect()
     with pytest.raises(Exception, match="invalid record"):
         decode(df, layout).select(name).collect()
     with pytest.raises(Exception, match="invalid record"):
