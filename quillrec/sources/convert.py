@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrec.errors import ConversionError, DecodeError
+from quillrec.functions.vectors import decode_records
 from quillrec.operators.decode import ERROR_COLUMN, decode, decode_error, error_of, first_error
 from quillrec.plans.layout import Layout, validate_layout
 from quillrec.sources.fixed import batch_bytes, read_decoded, read_records
@@ -68,12 +69,13 @@ def _size(path) -> int:
         raise io_error("open input", path, e) from e
 
 
-def convert_file(spark: SparkSession, layout: Layout, input_path, output_path, batch_records: int = 65_536) -> None:
+def convert_file(spark: SparkSession, layout: Layout, input_path, output_path, batch_records: int = 65_536, local_bytes: int = 64 << 20) -> None:
     """Converts to one new uncompressed Parquet file with a row group for every batch.
 
     Tasks decode and write ranges of whole batches beside the output; the driver then moves their row groups into the one
     file, in order and one at a time, so its memory is one group. Bad data raises the first error and leaves no output; an
-    existing output is never touched. For inputs that one file should not hold see ``convert_dataset``.
+    existing output is never touched. Inputs of up to ``local_bytes`` are decoded batch by batch on the driver instead, as starting
+    tasks would take longer. For inputs that one file should not hold see ``convert_dataset``.
     """
     checked(layout, batch_records)
     total = _size(input_path)
@@ -85,15 +87,16 @@ def convert_file(spark: SparkSession, layout: Layout, input_path, output_path, b
     staging, done = out.parent / f".{out.name}.{secrets.token_hex(8)}", False
     try:
         with sink:
-            _decode_to(spark, layout, input_path, os.fspath(staging), total, batch_records, max(1, total // spark.sparkContext.defaultParallelism))
             schema = arrow_schema(layout)
+            if total > local_bytes:
+                _decode_to(spark, layout, input_path, os.fspath(staging), total, batch_records, max(1, total // spark.sparkContext.defaultParallelism))
+                groups = _staged_groups(staging)
+            else:
+                groups = _local_groups(spark, layout, input_path, total, batch_records)
             with pq.ParquetWriter(sink, schema, compression="NONE") as writer:
-                for part in sorted(staging.glob("part-*.parquet")):
-                    groups = pq.ParquetFile(part)
-                    for i in range(groups.num_row_groups):
-                        table = groups.read_row_group(i)
-                        columns = [table.column(f.name).cast(f.type) for f in schema]
-                        writer.write_table(pa.Table.from_arrays(columns, schema=schema), row_group_size=max(table.num_rows, 1))
+                for columns in groups:
+                    columns = [c.cast(f.type) for c, f in zip(columns, schema, strict=True)]
+                    writer.write_table(pa.Table.from_arrays(columns, schema=schema), row_group_size=max(len(columns[0]), 1))
         done = True
     finally:
         shutil.rmtree(staging, ignore_errors=True)
@@ -101,6 +104,27 @@ def convert_file(spark: SparkSession, layout: Layout, input_path, output_path, b
             out.unlink(missing_ok=True)
 
 
+def _staged_groups(folder: Path):
+    for part in sorted(folder.glob("part-*.parquet")):
+        with pq.ParquetFile(part) as f:
+            for i in range(f.num_row_groups):
+                yield f.read_row_group(i).columns
+
+
+def _local_groups(spark: SparkSession, layout: Layout, input_path, total: int, batch_records: int):
+    """The columns of each batch in turn; Spark is asked only for the place of an error."""
+    size = layout.record_length
+    records = lambda: read_records(spark, input_path, layout, truncated="drop")
+    if total % size:
+        _validated(records(), layout, total, batch_records)
+    with open(input_path, "rb") as f:
+        while data := f.read(size * batch_records):
+            columns, bad = decode_records(data, layout)
+            if bad.any():
+                raise fail_at(first_error(records(), layout), layout, batch_records)
+            yield columns
+
+
 def _decode_to(spark: SparkSession, layout: Layout, input_path, folder: str, total: int, batch_records: int, about: int) -> None:
     """Decodes whole batches in ranges of ``about`` bytes into a new folder of Parquet files, all or nothing."""
     size = layout.record_length

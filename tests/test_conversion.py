@@ -77,9 +77,10 @@ def test_truncated_source(spark, source):
 # ---------------------------------------------------------------- one file
 
 
+@pytest.mark.parametrize("local", [0, 10**9])
 @pytest.mark.parametrize("batch,groups", [(1, [1, 1, 1]), (2, [2, 1]), (3, [3]), (100, [3])])
-def test_convert_file(spark, source, tmp_path, batch, groups):
-    convert_file(spark, LAYOUT, source(), tmp_path / "o.parquet", batch)
+def test_convert_file(spark, source, tmp_path, batch, groups, local):
+    convert_file(spark, LAYOUT, source(), tmp_path / "o.parquet", batch, local)
     f = pq.ParquetFile(tmp_path / "o.parquet")
     assert [f.metadata.row_group(i).num_rows for i in range(f.num_row_groups)] == groups
     assert all(not x.nullable for x in f.schema_arrow)
@@ -92,15 +93,17 @@ def test_convert_file(spark, source, tmp_path, batch, groups):
 
 def test_batches_do_not_change_rows(spark, source, tmp_path):
     path = source(RECORDS * 333)
-    for batch in (1000, 64, 7):
-        convert_file(spark, LAYOUT, path, tmp_path / f"{batch}.parquet", batch)
-        assert rows_of(tmp_path / f"{batch}.parquet") == ROWS * 333
+    for local in (0, 10**9):
+        for batch in (1000, 64, 7):
+            convert_file(spark, LAYOUT, path, tmp_path / f"{batch}.{local}", batch, local)
+            assert rows_of(tmp_path / f"{batch}.{local}") == ROWS * 333
 
 
 def test_empty_input(spark, source, tmp_path):
-    convert_file(spark, LAYOUT, source(b""), tmp_path / "o.parquet", 2)
-    f = pq.ParquetFile(tmp_path / "o.parquet")
-    assert f.metadata.num_rows == 0 and f.num_row_groups == 0 and len(f.schema_arrow) == 6
+    for local in (-1, 10**9):
+        convert_file(spark, LAYOUT, source(b""), tmp_path / f"o{local}", 2, local)
+        f = pq.ParquetFile(tmp_path / f"o{local}")
+        assert f.metadata.num_rows == 0 and f.num_row_groups == 0 and len(f.schema_arrow) == 6
     convert_dataset(spark, LAYOUT, source(b""), tmp_path / "set", 2)
     assert spark.read.parquet(str(tmp_path / "set")).count() == 0
 
@@ -108,7 +111,7 @@ def test_empty_input(spark, source, tmp_path):
 def test_every_truncation(spark, source, tmp_path):
     for cut in (1, 17, 34, 36, 69, 71, 104):
         with pytest.raises(ConversionError) as e:
-            convert_file(spark, LAYOUT, source(RECORDS[:cut]), tmp_path / "o.parquet", 2)
+            convert_file(spark, LAYOUT, source(RECORDS[:cut]), tmp_path / "o.parquet", 2, 10**9 * (cut % 2))
         assert e.value.kind == "TruncatedRecord" and str(e.value) == f"incomplete record at input file byte {cut // 35 * 35}: expected 35 bytes, got {cut % 35}"
         assert not (tmp_path / "o.parquet").exists()
 
@@ -116,9 +119,9 @@ def test_every_truncation(spark, source, tmp_path):
 def test_first_error_and_its_place(spark, source, tmp_path):
     data = bytearray(RECORDS)
     data[83] = 0x40
-    for convert, out in ((convert_file, "o.parquet"), (convert_dataset, "set")):
+    for convert, out, *local in ((convert_file, "o.parquet", 0), (convert_file, "o.parquet"), (convert_dataset, "set")):
         with pytest.raises(ConversionError) as e:
-            convert(spark, LAYOUT, source(bytes(data)), tmp_path / out, 2)
+            convert(spark, LAYOUT, source(bytes(data)), tmp_path / out, 2, *local)
         assert str(e.value) == (
             "input file byte 83: record 2, field SAMPLE-RECORD.HEADER-GROUP.ACCOUNT-NUMBER, batch byte 13 (line 6, column 16): "
             "invalid DISPLAY digit 0x40 at field byte 1"
@@ -130,9 +133,9 @@ def test_cut_off_record_against_bad_records(spark, source, tmp_path):
     """A bad record of an earlier batch comes first; one in the cut-off batch does not."""
     early, late = bytearray(RECORDS[:-1]), bytearray(RECORDS[:-1])
     early[12], late[35 * 2 + 12] = 0, 0
-    for data, kind in ((early, "Decode"), (late, "TruncatedRecord")):
+    for data, kind, local in ((early, "Decode", 0), (late, "TruncatedRecord", 0), (early, "Decode", 10**9), (late, "TruncatedRecord", 10**9)):
         with pytest.raises(ConversionError) as e:
-            convert_file(spark, LAYOUT, source(bytes(data)), tmp_path / "o.parquet", 2)
+            convert_file(spark, LAYOUT, source(bytes(data)), tmp_path / "o.parquet", 2, local)
         assert e.value.kind == kind
 
 
