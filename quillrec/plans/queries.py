@@ -259,13 +259,14 @@ def invalid_packed_padding(spark, sf_dir):
 
 
 @query(
-    "SELECT l_orderkey AS key, CASE WHEN l_orderkey > 9999 THEN 'NumericOutOfRange' END AS kind, CASE WHEN l_orderkey > 9999 THEN CAST(0 AS BIGINT) END AS byte,"
-    " CASE WHEN l_orderkey > 9999 THEN CAST(l_orderkey AS DECIMAL(20,0)) END AS value FROM lineitem WHERE l_orderkey < 65536"
+    "SELECT l_orderkey AS key, CASE WHEN v > 9999999999 THEN 'NumericOutOfRange' END AS kind, CASE WHEN v > 9999999999 THEN CAST(0 AS BIGINT) END AS byte,"
+    " CASE WHEN v > 9999999999 THEN CAST(v AS DECIMAL(20,0)) END AS value FROM (SELECT l_orderkey, l_orderkey * 1000003 AS v FROM lineitem)"
 )
 def binary_out_of_range(spark, sf_dir):
-    """Two bytes hold more than four digits."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 65536").select(F.col("l_orderkey").alias("key"), F.unhex(F.lpad(F.hex("l_orderkey"), 4, "0")).alias("record"))
-    out = decode(rows, layout_of(orderkey="9(4) COMP"), errors="column", keep=("key",))
+    """Eight bytes hold more than ten digits."""
+    value = F.col("l_orderkey") * 1000003
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.unhex(F.lpad(F.hex(value), 16, "0")).alias("record"))
+    out = decode(rows, layout_of(orderkey="9(10) COMP"), errors="column", keep=("key",))
     e = F.col(ERROR_COLUMN)
     return out.select("key", e["kind"].alias("kind"), e["byte"].cast("long").alias("byte"), e["value"].alias("value"))
 
