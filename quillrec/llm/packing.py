@@ -71,13 +71,15 @@ def pack(
     open_bins: int = 2048,
     lookahead: int = 4096,
     with_ids: bool = False,
+    remember: int = 1_200_000,
 ) -> DataFrame:
     """Packs every document of ``docs`` into sequences of at most ``capacity`` ids.
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for). Null texts
     count as empty; a document is its ids and then ``end_id``, so each has at least one id. Repeated rows are packed
     each on its own. Every task packs its own rows: no shuffle, no shared state. ``lookahead`` pieces are put in
-    descending order before they are placed; the memory of a task is that, the open bins and one Arrow batch.
+    descending order before they are placed; the memory of a task is that, the open bins, one Arrow batch and the ids of
+    ``remember`` chunks (about 250 bytes each).
     """
     path = tokenizer_file(tokenizer)
 
@@ -86,7 +88,7 @@ def pack(
 
         base = TaskContext.get().partitionId() << 36
         bins = BestFit(capacity, open_bins)
-        tok = cached_tokenizer(path, 1_200_000)  # no shuffle competes for memory here
+        tok = cached_tokenizer(path, remember)
         end = np.array([end_id], dtype=np.uint32)
         held: list[tuple] = []
 
