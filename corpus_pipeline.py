@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 1024 ids, by piece."""
-    return packing.pack(docs)
+    return packing.pack(docs, remember=600_000)  # its workers serve the other stages too, which need the memory
 
 
 STAGES = [
