@@ -79,9 +79,8 @@ def depleted_documents(docs: DataFrame, max_documents: int = 10, max_removed: fl
     """Keys (doc_id, host, th: hash of the text) of documents that lose more than ``max_removed`` of their words.
 
     A normalised line is over the limit if more than ``max_documents`` distinct documents of its host have it. Copies
-    are not distinct documents: a document counts by its smallest line digest (md5), which equal texts share and near
-    copies mostly do. A line's distinct
-    documents are counted as (host, line, document) rows, then per line with partial sums, so a very common line is never in
+    are not distinct documents: a document counts by the hash of its whole text. Near copies are distinct. A line's distinct
+    documents are counted as (host, line, text hash) rows, then per line with partial sums, so a very common line is never in
     one place. A null source is a host of its own.
     """
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD))
@@ -89,15 +88,14 @@ def depleted_documents(docs: DataFrame, max_documents: int = 10, max_removed: fl
         lines,
         lambda x: _let(
             normalised(x),
-            lambda y: F.struct(F.xxhash64(y).alias("h"), F.md5(y.cast("binary")).alias("m"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("w")),
+            lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("w")),
         ),
     )
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
     rows = rows.select("doc_id", "host", F.xxhash64("text").alias("th"), parts.alias("parts"))
-    rows = rows.select("doc_id", "host", "th", F.xxhash64(F.array_min("parts.m")).alias("sketch"), F.explode("parts").alias("p"))
-    rows = rows.select("doc_id", "host", "th", "sketch", "p.h", "p.w")
-    over = rows.select("host", "h", "sketch").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
-    marked = rows.drop("sketch").join(over.select("host", "h", F.lit(1).alias("over")), ["host", "h"], "left")
+    rows = rows.select("doc_id", "host", "th", F.explode("parts").alias("p")).select("doc_id", "host", "th", "p.h", "p.w")
+    over = rows.select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
+    marked = rows.join(over.select("host", "h", F.lit(1).alias("over")), ["host", "h"], "left")
     sums = marked.groupBy("doc_id", "host", "th").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("over") == 1, F.col("w"))).alias("removed"))
     return sums.where(F.coalesce(F.col("removed"), F.lit(0)) > max_removed * F.col("all")).select("doc_id", "host", "th")
 
@@ -132,10 +130,8 @@ def cleaned(docs: DataFrame, max_documents: int = 10) -> DataFrame:
     rows = rows.withColumn("th", F.xxhash64("text"))
     parts = rows.dropDuplicates(["doc_id", "host", "th"]).select("doc_id", "host", "th", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     norm = F.when(F.col("line").rlike(WORD), normalised(F.col("line")))
-    parts = parts.withColumn("h", F.when(norm.isNotNull(), F.xxhash64(norm))).withColumn("m", F.md5(norm.cast("binary")))
-    sketch = parts.groupBy("doc_id", "host", "th").agg(F.xxhash64(F.min("m")).alias("sketch")).select(F.col("doc_id").alias("d"), F.col("host").alias("o"), F.col("th").alias("t"), "sketch")
-    own = parts.join(sketch, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("host") == F.col("o")) & (F.col("th") == F.col("t")))
-    over = own.where("h is not null").select("host", "h", "sketch").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
+    parts = parts.withColumn("h", F.when(norm.isNotNull(), F.xxhash64(norm)))
+    over = parts.where("h is not null").select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
     kept = parts.join(over.select("host", "h"), ["host", "h"], "left_anti")
     lines = kept.groupBy("doc_id", "host", "th").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
     lines = lines.select(F.col("doc_id").alias("d"), F.col("host").alias("o"), F.col("th").alias("t"), F.array_join("l.line", "\n").alias("clean"))

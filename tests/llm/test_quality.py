@@ -113,6 +113,17 @@ def test_lines_that_documents_of_a_host_share(spark):
     assert "\n" not in clean[0] and clean[51] == host_docs()[13][1] and clean[100] == host_docs()[15][1]
 
 
+def test_documents_that_share_several_lines_are_distinct(spark):
+    """Both lines stand in the same documents, so each document's smallest line is one of the two in most of them."""
+    shared = [" ".join(f"{c}{k}" for k in range(60)) for c in "st"]
+    rows = [(i, "\n".join([*shared, f"own line {i}"]), "h") for i in range(11)] + [(100 + i, "\n".join([*shared, f"own line {i}"]), "few") for i in range(10)]
+    rows += [(200 + i, "\n".join([*shared, "own line 0"]), "few") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in qr.quality_rules(df).collect() if r.depleted} == set(range(11))
+    clean = {r.doc_id: r.text for r in qr.cleaned(df).collect()}
+    assert clean[3] == "own line 3" and clean[103] == rows[14][1] and clean[200] == rows[21][1]
+
+
 def test_rules_on_odd_rows(spark):
     rows = [(i if i else None, t, "s") for i, t in enumerate(ODD)] + [(3, ODD[3], "s"), (3, ODD[3], "s"), (3, "other", "s")]
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, source string, kept boolean")
