@@ -85,17 +85,19 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     A page that a rule fits has that rule's verdict. Any other page belongs to the component of its URL in the graph of
     redirects, canonical links and equal canonical forms: it is blocked if a rule blocks a member of the component and
     none allows one (an explicit allow has precedence), else allowed. A null URL, or one without ``://``, has an empty
-    host and path and is allowed. Rows with repeated or null page_ids are judged each on its own. ``rules`` is a list
+    host and path and is allowed. Link targets are members too, whether or not they are rows of ``pages``. Rows with repeated or null page_ids are judged each on its own. ``rules`` is a list
     of (verdict, rule) kept in the plan, so meant for up to some thousand rules. Nodes are 64-bit hashes of the forms.
     """
     url = F.col("url").cast("string")
     found = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64(canonical_form(url)).alias("h"), canonical_form(url).isNotNull().alias("real"))
     found = found.select("page_id", "host", "path", rule_for(F.col("host"), F.col("path"), rules).alias("hit"), F.when(F.col("real"), F.col("h")).alias("node"))
     links = pages.select(url.alias("url"), F.explode(link_targets(F.col("html").cast("string"))).alias("target"))
-    links = links.select(canonical_form(F.col("url")).alias("a"), canonical_form(resolved(F.col("target"), F.col("url"))).alias("b"))
+    links = links.select(canonical_form(F.col("url")).alias("a"), resolved(F.col("target"), F.col("url")).alias("to"))
+    links = links.select("a", "to", canonical_form(F.col("to")).alias("b"))
     edges = links.where("a is not null and b is not null and a <> b").select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
     comp = components(edges)
-    ruled = found.where("hit is not null and node is not null").groupBy("node").agg(F.max("hit.allow").alias("allow"), F.max(~F.col("hit.allow")).alias("block"))
+    linked = links.where("b is not null").select(F.xxhash64("b").alias("node"), rule_for(host_of(F.col("to")), path_of(F.col("to")), rules).alias("hit"))
+    ruled = found.select("node", "hit").union(linked).where("hit is not null and node is not null").groupBy("node").agg(F.max("hit.allow").alias("allow"), F.max(~F.col("hit.allow")).alias("block"))
     flags = ruled.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     blocked = flags.where("block and not allow").select("root")
     members = comp.join(blocked, "root", "left_semi").select("node").union(blocked.select(F.col("root").alias("node"))).distinct()

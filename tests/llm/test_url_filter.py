@@ -41,6 +41,16 @@ def test_decisions_reach_aliases(spark):
     assert {i for i, v in verdicts(spark, rows).items() if v[1] == "block"} == {1, 10}
 
 
+def test_rules_reach_targets_that_are_no_rows(spark):
+    rows = [
+        (1, "http://a.org/1", LINK.format("http://x.net/es/1")), (2, "http://b.org/1", JUMP.format("http://y.net/fr/2")), (3, "http://b.org/3", LINK.format("/1")),
+        (4, "http://p.net/es/9", LINK.format("http://c.org/1")), (5, "http://c.org/1", LINK.format("http://uncrawled.com/1")), (6, "http://d.org/1", LINK.format("http://x.net/de/1")),
+        (7, "http://net/es", LINK.format("//NET/es/")),
+    ]
+    got = verdicts(spark, rows)
+    assert {i for i, v in got.items() if v[1] == "block"} == {1, 2, 3, 4, 7} and {i for i, v in got.items() if v[0]} == {4}
+
+
 def test_long_chains_and_odd_rows(spark):
     rows = [(i, f"http://h{i}.org/", LINK.format(f"http://h{i + 1}.org/")) for i in range(70)] + [(70, "http://h70.org/", JUMP.format("http://q.net/es/1")), (71, "http://q.net/es/1", None), (71, "http://q.net/es/1", None), (None, "http://h3.org", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
