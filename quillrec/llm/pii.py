@@ -32,21 +32,34 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("absent"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _last_words(gap: Column) -> Column:
+    """The last two words, the last one first; fewer if there are no more. Time is linear in the gap's length."""
+    parts = F.filter(F.split(F.reverse(gap), f"[{SPACE_CLASS}]+", 4), lambda x: x != "")
+    return F.transform(F.slice(parts, 1, 2), F.reverse)
+
+
 def _found(pattern: str, hint: str | None) -> Column:
-    """Matches with the text between them: array of (gap length, match length, end of the gap, match)."""
+    """Matches with the text between them: array of (gap length, match length, the gap's last words for candidates, match)."""
     cut = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("hit"))
     rows = F.transform(
         F.filter(cut, lambda x: x["hit"].isNotNull()),
-        lambda x: F.struct(F.length(x["gap"]).alias("g"), F.length(x["hit"]).alias("m"), F.right(x["gap"], F.lit(80)).alias("before"), x["hit"].alias("hit")),
+        lambda x: F.struct(F.length(x["gap"]).alias("g"), F.length(x["hit"]).alias("m"), (_last_words(x["gap"]) if pattern == _CANDIDATE else F.array().cast("array<string>")).alias("tail"), x["hit"].alias("hit")),
     )
+    # a candidate is a word, so that with the two candidates before it, the gaps hold the two words before any candidate
+    words = lambda r, i: F.when(i < 0, F.array().cast("array<string>")).otherwise(F.concat(F.get(r, i)["tail"], F.when(i > 0, F.array(F.get(r, i - 1)["hit"])).otherwise(F.array().cast("array<string>"))))
+    near = lambda r, i: F.slice(F.concat(words(r, i), F.when(i > 0, words(r, i - 1)).otherwise(F.array().cast("array<string>"))), 1, 2)
+    rows = F.transform(
+        F.array(rows),
+        lambda r: F.transform(r, lambda x, i: F.struct(x["g"].alias("g"), x["m"].alias("m"), ((i > 0) & (F.size(x["tail"]) == 0)).alias("next"), near(r, i).alias("before"), x["hit"].alias("hit"))),
+    )[0]
     return rows if hint is None else F.when(F.contains(F.col("text"), F.lit(hint)), rows)
 
 
 def matches(rows: DataFrame) -> DataFrame:
     """All matches of the base patterns and all candidate words, with their places.
 
-    ``rows`` is ``named(docs)``. Returns the key, kind, start, end, before (up to 80 code points of what stands between
-    the last match of the kind and this one) and hit. Gap and match lengths are summed over each text's matches, so
+    ``rows`` is ``named(docs)``. Returns the key, kind, start, end, next (whether a candidate directly follows
+    another), before (a candidate's two words before it, the nearest first; empty for other kinds) and hit. Gap and match lengths are summed over each text's matches, so
     time is linear in a text's matches; rows that repeat doc_id and text are told apart nowhere and count once.
     """
     parts = [F.struct(F.lit(k).alias("kind"), _found(p, _HINT[k]).alias("found")) for k, p in PATTERNS.items()]
@@ -56,7 +69,7 @@ def matches(rows: DataFrame) -> DataFrame:
     out = out.repartition(*KEY).distinct()
     so_far = Window.partitionBy(*KEY, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("g") + F.col("m")).over(so_far)
-    return out.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("m")).alias("start"), "end", "before", "hit")
+    return out.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("m")).alias("start"), "end", "next", "before", "hit")
 
 
 def valid(kind: Column, hit: Column) -> Column:
@@ -83,7 +96,8 @@ def discovered(found: DataFrame, rounds: int = 3, least: float = 0.9, support: i
     """Spans that the contexts of known entities give away: the key, start, end.
 
     Candidates are words with an at sign or at least four digits, trimmed of punctuation. Those that touch a base span are
-    seeds with score 1. A pattern is the one or two words before a candidate and the candidate's shape; its score is the mean score of its
+    seeds with score 1. A pattern is the one or two words before the whole entity of a candidate (the base span, or the run
+    of neighbouring candidate words that touch none) and the candidate's shape; patterns without a word are left out. Its score is the mean score of its
     distinct instances, damped by one more instance of score 0, and 0 with fewer than ``support`` instances. An
     instance's score is 1 minus the product of (1 - score) over its patterns. After ``rounds`` of this on the
     graph of patterns and instances, candidates of instances that score at least ``least`` are returned. The graph is
@@ -91,19 +105,31 @@ def discovered(found: DataFrame, rounds: int = 3, least: float = 0.9, support: i
     """
     base = found.where(F.col("kind") != "candidate").where(valid(F.col("kind"), F.col("hit")))
     word = F.regexp_replace(F.regexp_replace("hit", rf"^{_EDGE}", ""), rf"{_EDGE}$", "")
-    cand = found.where("kind = 'candidate'").withColumn("word", word)
+    cand = found.where("kind = 'candidate'").withColumn("word", word).withColumn("at", F.col("start"))
     cand = cand.withColumn("start", F.col("start") + F.length(F.regexp_extract("hit", rf"^(?:{_EDGE})?", 0))).withColumn("end", F.col("start") + F.length("word"))
-    cand = cand.where(F.col("word").contains("@") | (F.length(F.regexp_replace("word", "[^0-9]", "")) >= 4))
-    both = cand.select(*KEY, "start", "end", "before", "word").unionByName(base.select(*KEY, "start", "end"), allowMissingColumns=True)
+    both = cand.select(*KEY, "at", "start", "end", "next", "before", "word").unionByName(base.select(*KEY, F.col("start").alias("at"), "start", "end"), allowMissingColumns=True)
     by = Window.partitionBy(*KEY).orderBy("start", F.col("word").isNotNull())
     is_base = F.col("word").isNull()
     earlier = F.max(F.when(is_base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
     later = F.min(F.when(is_base, F.col("start"))).over(by.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("seed", F.coalesce(earlier > F.col("start"), F.lit(False)) | F.coalesce(later < F.col("end"), F.lit(False))).where("word is not null")
-    one = F.lower(F.regexp_extract("before", rf"([^{SPACE_CLASS}]+)[{SPACE_CLASS}]*$", 1))
-    two = F.lower(F.regexp_extract("before", rf"([^{SPACE_CLASS}]+[{SPACE_CLASS}]+[^{SPACE_CLASS}]+)[{SPACE_CLASS}]*$", 1))
+    # a base span that starts before a candidate word and ends in or after it
+    words = Window.partitionBy(*KEY).orderBy("at", is_base)
+    crossed = F.max(F.when(is_base, F.col("end"))).over(words.rowsBetween(Window.unboundedPreceding, -1)) > F.col("at")
+    both = both.withColumn("seed", F.coalesce(earlier > F.col("start"), F.lit(False)) | F.coalesce(later < F.col("end"), F.lit(False)))
+    both = both.withColumn("crossed", F.coalesce(crossed, F.lit(False))).where("word is not null")
+    follows = Window.partitionBy(*KEY).orderBy("at")
+    joined = F.col("crossed") | F.col("next") & ~F.col("seed") & ~F.lag("seed", 1, False).over(follows)
+    both = both.withColumn("joined", joined)
+    both = both.withColumn("before", F.last(F.when(~F.col("joined"), F.col("before")), ignorenulls=True).over(follows.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.where(F.col("word").contains("@") | (F.length(F.regexp_replace("word", "[^0-9]", "")) >= 4))
+    one = F.lower(F.get("before", F.lit(0)))
+    two = F.lower(F.concat(F.get("before", F.lit(1)), F.lit(" "), F.get("before", F.lit(0))))
     shape = _shape(F.col("word"))
-    both = stored(both.select(*KEY, "start", "end", "seed", F.xxhash64(F.lower("word")).alias("inst"), F.array(F.xxhash64(F.lit(1), one, shape), F.xxhash64(F.lit(2), two, shape)).alias("pats")), "candidates")
+    inst = F.xxhash64(F.lower("word"))
+    pats = F.array(F.when(one.isNotNull(), F.xxhash64(F.lit(1), one, shape)), F.when(two.isNotNull(), F.xxhash64(F.lit(2), two, shape)))
+    # without a word before it, an entity is in no shared pattern: its instance's own one keeps the seed and never has support
+    pats = F.when(F.size("before") == 0, F.array(F.xxhash64(F.lit(0), inst))).otherwise(F.array_compact(pats))
+    both = stored(both.select(*KEY, "start", "end", "seed", inst.alias("inst"), pats.alias("pats")), "candidates")
     edges = stored(both.select("inst", "seed", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.max("seed").alias("seed")), "edges")
     scores = edges.groupBy("inst").agg(F.max("seed").cast("double").alias("s"))
     for _ in range(rounds):

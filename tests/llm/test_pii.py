@@ -97,6 +97,14 @@ def test_contexts_give_away_other_identifiers(spark):
     assert clean[0] == "Please write to Employee contact: <email> today" and clean[101] == "see Employee contact: <context> now" and clean[205] == docs[48][1]
 
 
+def test_contexts_stand_before_the_whole_entity(spark):
+    docs = [(i, f"Please dial Desk line: +1 (974) 555-{3000 + i} today") for i in range(40)]
+    docs += [(100, "see Desk line: 7741-2093 now"), (101, "see Desk line: 12 (34) 8841-2093 now"), (102, "88213 (5) 90017")]
+    rows = {r.doc_id: r for r in pii.personal_data(frame(spark, docs)).collect()}
+    assert rows[100].spans == "context:15:24" and rows[101].spans == "context:23:32"
+    assert rows[102].spans == "" and all(rows[i].n_phone == 1 and rows[i].n_context == 0 for i in range(40))
+
+
 def test_redaction(spark):
     rows = [(1, "ñ x@y.z, 10.0.0.1! +1 (743) 555-3824", "a", 3), (None, "card 4539 1488 0343 6467", "b", 4), (2, "plain", None, 5), (3, None, "c", 0), (3, "a@b.c 4539148803436467", "d", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
