@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,14 +38,24 @@ def windows(ids: list, width: int) -> set:
     return set(zip(*(ids[j:] for j in range(k)), strict=False)) if k else set()
 
 
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of word ids (uint64)."""
+    out = np.zeros(len(columns[0]), dtype=np.uint64)
+    for x in columns:
+        out = (out ^ (x + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Index:
     """Postings of entries (pieces of items of at most ``piece`` words), in blocks with their largest impacts.
 
     The impact of a term in an entry is its BM25 weight over the entry's threshold, so that every threshold is 1 and block
     maxima hold for entries of any length. An entry's threshold follows from ``overlap``: a text that holds that share
     of an item's windows lacks at most ``missing`` of its words, so one of its entries lacks at most that over
-    the number of entries; what the entry scores without its heaviest such terms is the threshold. So nothing that the
-    verification would accept is missed.
+    the number of entries; what the entry scores without its heaviest such terms is the threshold. A passage need not hold
+    a whole item, so the windows of each item's longer part (question or answer) are indexed too: a text that holds
+    enough of them anywhere has the item as a candidate. So nothing that the verification would accept is missed.
     """
 
     K1, B, BLOCK = 1.2, 0.75, 4
@@ -66,6 +77,7 @@ class Index:
             cut = [all_words[i : i + size] for i in range(0, len(all_words), size)]
             entries += [(len(self.items) - 1, Counter(c), missing // len(cut)) for c in cut]
         self.item_of = [e[0] for e in entries]
+        self.overlap = overlap
         df = Counter(w for _, c, _ in entries for w in c)
         mean = sum(sum(c.values()) for _, c, _ in entries) / max(len(entries), 1)
         self.term: dict[bytes, int] = {w: i for i, w in enumerate(sorted(df))}
@@ -90,6 +102,56 @@ class Index:
         for t, (es, xs) in enumerate(zip(self.entry, self.impact, strict=True)):
             np.maximum.at(self.bound[t], np.array(es) // self.span, np.array(xs, dtype=np.float32))
 
+        self.entries_of: dict[int, list[int]] = {}
+        for e, i in enumerate(self.item_of):
+            self.entries_of.setdefault(i, []).append(e)
+        # by width: hashes of windows in order, their items; and each item's number of windows
+        found: dict[int, tuple[list[tuple[int, ...]], list[int]]] = {}
+        self.whole = np.zeros(len(self.items), dtype=np.int64)
+        for i, (_, question, answer, kq, ka) in enumerate(self.items):
+            k, part = max((kq, question), (ka, answer), key=lambda x: (x[0], len(x[1])))
+            self.whole[i] = len(part)
+            rows = found.setdefault(k, ([], []))
+            rows[0].extend(tuple(self.term[w] for w in x) for x in part)
+            rows[1].extend([i] * len(part))
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, (runs, owners) in found.items():
+            ids = np.array(runs, dtype=np.uint64)
+            key = _hashed([ids[:, j] for j in range(k)])
+            order = np.argsort(key, kind="stable")
+            self.held[k] = key[order], np.array(owners, dtype=np.int64)[order]
+
+    def holders(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) where a text holds ``overlap`` of the windows of the item's longer part, wherever they stand."""
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))  # words from here to the text's end
+        text, out = np.repeat(np.arange(len(lengths)), lengths), []
+        for k, (keys, owners) in self.held.items():
+            starts = np.flatnonzero(left >= k)
+            key = _hashed([ids[starts + j].astype(np.uint64) for j in range(k)])
+            low = np.searchsorted(keys, key)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
+            # every window of a text once
+            hit = hit[np.unique(np.stack((text[starts[hit]], low[hit])), axis=1, return_index=True)[1]] if len(hit) else hit
+            low, where = low[hit], text[starts[hit]]
+            n = np.searchsorted(keys, key[hit], side="right") - low
+            posting = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            pair, count = np.unique(np.repeat(where, n) * len(self.items) + owners[posting], return_counts=True)
+            enough = pair[count / self.whole[pair % len(self.items)] >= self.overlap]
+            out += zip((enough // len(self.items)).tolist(), (enough % len(self.items)).tolist(), strict=True)
+        return out
+
+    def score(self, item: int, terms: list[int]) -> float:
+        """The best summed impact of these distinct terms in an entry of the item."""
+        best = 0.0
+        for e in self.entries_of[item]:
+            total = 0.0
+            for t in terms:
+                at = bisect_left(self.entry[t], e)
+                if at < len(self.entry[t]) and self.entry[t][at] == e:
+                    total += self.impact[t][at]
+            best = max(best, total)
+        return best
+
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All entries whose summed impact over these distinct terms is at least 1, by block-max WAND."""
         found = []
@@ -139,7 +201,8 @@ class Index:
         return found
 
     def candidates(self, docs: list[list[bytes]]) -> list[dict[int, float]]:
-        """For each text the items of which a passage scores above the threshold, with the best such score.
+        """For each text the items of which a passage scores above the threshold, with the best such score, and those of
+        whose longer part it holds enough windows, with the best score of a passage.
 
         Passages are two neighbouring chunks of ``chunk`` words: any run of chunk + 1 words lies in one. A passage is
         searched only if the summed block bounds of its terms reach the threshold in some range of entries.
@@ -170,6 +233,10 @@ class Index:
             for e, score in self.search(np.unique(term[at[c] : at[last]]).tolist()):
                 item = self.item_of[e]
                 found[item] = max(found.get(item, 0.0), score)
+        for d, item in self.holders(ids, lengths):
+            if item not in out[d]:
+                passages = ((c, min(c + 2, first[d + 1])) for c in range(first[d], first[d + 1]))
+                out[d][item] = max(self.score(item, np.unique(term[at[c] : at[last]]).tolist()) for c, last in passages)
         return out
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:

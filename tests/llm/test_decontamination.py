@@ -55,6 +55,16 @@ def test_planted_leaks_with_edits(spark):
     assert pairs(got) == want and len(want) > 40
 
 
+def test_parts_far_apart():
+    say = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    items = [(1, f"{say('q', 10)}\n{say('a', 12)}"), (2, say("s", 24)), (3, f"{say('t', 9)}\nyes"), (4, f"{say('u', 3)}\n{say('v', 2)}")]
+    gap, (q, a), s = say("x", 300), items[0][1].split("\n"), items[1][1].split()
+    texts = [f"{q} {gap} {a}", f"{a} {gap} {q}", q, " ".join(s[:12]) + f" {gap} " + " ".join(s[12:]), f"{say('t', 9)} {gap} Yes", f"{say('v', 2)} {gap} {say('u', 3)}", gap, ""]
+    docs = list(enumerate(texts))
+    got = {(d, m[0]) for d, own in enumerate(dc.Index(items).matches(texts)) for m in own if min(m[2:]) >= 0.8}
+    assert got == brute(docs, items) == {(0, 1), (1, 1), (3, 2), (4, 3), (5, 4)}
+
+
 def test_odd_rows(spark):
     item = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (None, f"A {item.upper()}!", None), (3, None, ""), (4, "", ""), (5, "z " * 60000 + item, "")], "doc_id long, text string, item_id string")
