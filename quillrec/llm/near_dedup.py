@@ -14,6 +14,7 @@ from .common import _G, as_set, components, discard, documents, mix, overlap, sh
 #: 24 bands of 5: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24 > 0.9999.
 BANDS, ROWS = 24, 5
 WIDTH, SIMILARITY = 5, 0.8
+_ALL = (1 << 64) - 1
 
 
 def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
@@ -38,7 +39,7 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
             inside = w > first
             element, w = element[inside], w[inside]
             docs.append(np.full(len(w), d))
-            seeds.append(mix(element + np.uint64(block + 1) * _G))
+            seeds.append(mix(element + np.uint64((block + 1) * int(_G) & _ALL)))
             low.append(np.full(len(w), first))
             span.append(np.full(len(w), max(first, 1)))
             weight.append(w)
@@ -51,7 +52,7 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
         turn = 0
         while len(doc):
             turn += 1
-            r = mix(seed + np.uint64(turn) * _G)
+            r = mix(seed + np.uint64(turn * int(_G) & _ALL))
             time = time - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / (size * sp)
             live = time <= latest[doc]
             doc, seed, lo, sp, wt, time, r = (x[live] for x in (doc, seed, lo, sp, wt, time, r))
@@ -103,51 +104,90 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("absent"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts overlap by ``SIMILARITY``; ``texts`` has node and text."""
+def _windows(texts: DataFrame) -> DataFrame:
+    """node, size and w (the sorted hashes of the text's windows as a set, 8 bytes each) for rows of node and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids: dict[str, int] = {}
-            left = [ids.setdefault(t, len(ids)) for t in pdf["a"]]
-            right = [ids.setdefault(t, len(ids)) for t in pdf["b"]]
-            names = list(ids)
-            sets: list[np.ndarray] = []
+            names = pdf["text"].tolist()
             for a, b in slices(names, 2_000_000):
-                sets += map(as_set, shingles([t.encode("utf-8", "surrogatepass") for t in names[a:b]], WIDTH))
-            good = [overlap(sets[i], sets[j]) >= SIMILARITY for i, j in zip(left, right, strict=True)]
+                sets = list(map(as_set, shingles([t.encode("utf-8", "surrogatepass") for t in names[a:b]], WIDTH)))
+                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "size": [len(s) for s in sets], "w": [s.tobytes() for s in sets]})
+
+    return texts.mapInPandas(run, "node long, size long, w binary")
+
+
+def _verified(pairs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts overlap by ``SIMILARITY``; ``windows`` is a table of ``_windows``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = [overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= SIMILARITY for a, b in zip(pdf["a"], pdf["b"], strict=True)]
             yield pdf.loc[good, ["u", "v"]]
 
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+    right = windows.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("w").alias("b"))
+    left = windows.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("w").alias("a"))
+    sized = pairs.join(right, "v").join(left, "u").where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))
+    return sized.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+
+
+def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether sets (sorted arrays) i and j are similar, as a boolean matrix.
+
+    Turning the membership of an element round in every set changes no symmetric difference. So elements that over half of
+    the sets have are turned round, which makes near copies of one text short lists of differences; sets are similar
+    exactly if their symmetric difference is at most a ninth (at 0.8) of their sizes together. Elements of few sets are
+    counted by neighbours in sorted order, the others by a matrix product.
+    """
+    count = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(count), size)
+    values = np.concatenate(sets) if count else np.zeros(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    df = np.diff(np.append(start, len(values)))
+    own = np.bincount(owner, minlength=count)  # sizes after the turn
+    shared = np.zeros((count, count), dtype=np.float32)
+    often = np.flatnonzero(df > count / 2)
+    many = np.flatnonzero((df > 24) & (df <= count / 2))
+    for group, turned in ((many, False), (often, True)):
+        for k in range(0, len(group), 2048):
+            some = group[k : k + 2048]
+            has = np.zeros((count, len(some)), dtype=np.float32)
+            at = np.repeat(start[some] - np.cumsum(df[some]) + df[some], df[some]) + np.arange(int(df[some].sum()))
+            has[owner[at], np.repeat(np.arange(len(some)), df[some])] = 1
+            if turned:
+                has = 1 - has
+                own = own + (2 * has.sum(1) - len(some)).astype(np.int64)
+            shared += has @ has.T
+    few = np.repeat((df > 1) & (df <= 24) & (df <= count / 2), df)
+    values, owner = values[few], owner[few]
+    step = 1
+    while step < len(values) and step < 24:
+        same = np.flatnonzero(values[step:] == values[:-step])
+        if not len(same):
+            break
+        np.add.at(shared, (owner[same], owner[same + step]), 1)
+        np.add.at(shared, (owner[same + step], owner[same]), 1)
+        step += 1
+    apart = own[:, None] + own[None, :] - 2 * shared  # symmetric differences
+    np.fill_diagonal(apart, 0)
+    return apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (size[:, None] + size[None, :]) + 1e-6
 
 
 def _spanning(members: DataFrame) -> DataFrame:
-    """Edges that join the components within each block: ``members`` has bucket, i, j (the block), node, comp, text.
+    """Edges that join the components within each pair of blocks: ``members`` has bucket, i, j (the blocks), node, comp, w.
 
-    All pairs of a block whose components differ are compared, and no others; of the similar ones only those that join two
-    components are returned, at most one fewer than the block has rows.
+    All pairs of the blocks whose components differ are compared; of the similar ones only those that join two components
+    are returned, at most one fewer than the blocks have rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, comp, node = pdf["text"].tolist(), pdf["comp"].tolist(), pdf["node"].tolist()
-        sets: list[np.ndarray] = []
-        for a, b in slices(texts, 2_000_000):
-            sets += map(as_set, shingles([t.encode("utf-8", "surrogatepass") for t in texts[a:b]], WIDTH))
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), size)
-        values, column = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        owner, bounds = owner[order], np.searchsorted(column[order], np.arange(len(values) + 1))
-        wide = np.flatnonzero(np.diff(bounds) > 1)  # windows that at least two texts have
-        shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for k in range(0, len(wide), 4096):
-            some = wide[k : k + 4096]
-            has = np.zeros((len(sets), len(some)), dtype=np.float32)
-            for c, v in enumerate(some.tolist()):
-                has[owner[bounds[v] : bounds[v + 1]], c] = 1
-            shared += has @ has.T
-        similar = shared >= SIMILARITY * (size[:, None] + size[None, :] - shared) - 1e-9
+        comp, node = pdf["comp"].tolist(), pdf["node"].tolist()
+        similar = similar_pairs([np.frombuffer(w, np.uint64) for w in pdf["w"]])
+        name = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        similar &= name[:, None] < name[None, :]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -157,7 +197,7 @@ def _spanning(members: DataFrame) -> DataFrame:
             return x
 
         out = []
-        for x, y in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+        for x, y in zip(*np.nonzero(similar), strict=True):
             a, b = find(comp[x]), find(comp[y])
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -167,7 +207,30 @@ def _spanning(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
 
 
-def duplicate_classes(docs: DataFrame, block: int = 128) -> DataFrame:
+def _blocks(placed: DataFrame, budget: int) -> DataFrame:
+    """The rows of ``placed`` (bucket, node, comp, size) by pairs of blocks, as bucket, i, j, node, comp.
+
+    The largest component of a bucket is cut into blocks of its own, the other nodes into further ones, each of about
+    ``budget`` windows (a node counts as 512 at least). Blocks of the largest component meet those of the others, and those meet
+    each other; no two nodes of the largest component do.
+    """
+    weight = F.greatest("size", F.lit(512))
+    sizes = placed.groupBy("bucket", "comp").agg(F.sum(weight).alias("x"))
+    whole = sizes.groupBy("bucket").agg(F.max(F.struct("x", "comp")).alias("m"), F.sum("x").alias("x"), F.count("*").alias("comps"))
+    whole = whole.where("comps > 1").select("bucket", F.col("m.comp").alias("main"), F.col("m.x").alias("xm"), (F.col("x") - F.col("m.x")).alias("xo"))
+    one = F.col("xm") + F.col("xo") <= budget
+    blocks = lambda x: F.ceil(x / budget).cast("int")
+    whole = whole.select("bucket", "main", F.when(one, 0).otherwise(blocks(F.col("xm"))).alias("mains"), F.when(one, 1).otherwise(blocks(F.col("xo"))).alias("others"))
+    rows = placed.join(stored(whole, "blocks"), "bucket")
+    # blocks 0..others-1 are of the others, the rest of the largest component; with one block both are in it
+    in_main = (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
+    own = F.when(in_main, F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    last = F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.select("bucket", "node", "comp", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
+
+
+def duplicate_classes(docs: DataFrame, budget: int = 1 << 20) -> DataFrame:
     """Classes of near-duplicate documents.
 
     Returns d (doc_id, null as 0), absent (whether it is null), th (hash of the text) and k, for each row of ``docs``;
@@ -177,12 +240,14 @@ def duplicate_classes(docs: DataFrame, block: int = 128) -> DataFrame:
     the classes are the connected components. Texts of one to four words have one window, texts without words are copies of
     each other. Copies (equal multisets) are one node from the start. For candidates, nodes that share a band meet:
 
-    1. in each bucket every node is verified against one leader, the node with the largest buckets in all,
-    2. in buckets where more than one component is left, all pairs across components are verified, in blocks of about
-       ``block`` nodes against ``block`` nodes.
+    1. in each bucket every node is verified against one leader, the node with the largest buckets in all: one row a node,
+    2. in buckets where more than one component is left, every pair of nodes in different components is compared within
+       pairs of blocks (``_blocks``). A block holds windows for ``budget`` bytes times 8 and at most ``budget`` / 512 nodes, so that a
+       bucket of fewer nodes has one row a node here too; a larger one is split, and its rows repeat once for each block of nodes
+       outside its largest component.
 
-    So every pair that shares a band is verified or already connected, no task holds more than two blocks, and no step
-    makes a row for each pair.
+    So every pair that shares a band is verified or already connected, and no task holds more than two blocks. Windows travel
+    as 64-bit hashes, computed once for each node. Nodes are named by 64 of the 128 bits of their multisets' prints.
     """
     sketch = stored(_sketches(docs), "sketches")
     # one node for each multiset: its smallest named row
@@ -193,39 +258,38 @@ def duplicate_classes(docs: DataFrame, block: int = 128) -> DataFrame:
         ),
         "groups",
     )
+    # what is counted for a bucket is stored before it is joined, so that a join can split the rows of a large bucket
     member = groups.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     member = stored(member.join(shared, "bucket"), "members")
     weight = member.groupBy("node").agg(F.sum("n").alias("weight"))
-    leader = member.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("v"))
-    pairs = member.join(leader, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    leader = stored(member.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("v")), "leaders")
+    pairs = member.join(leader, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").repartition("u", "v").distinct()
     pairs = stored(pairs, "pairs")
     involved = groups.join(member.select("node").distinct(), "node", "left_semi").select("node", "d", "absent", "th")
     texts = _named(docs).join(involved, ["d", "absent", "th"]).select("node", "text")
     if not sketch.groupBy("d", "absent", "th").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
-    texts = stored(texts, "texts")
-    star = stored(_verified(pairs, texts), "star")
+    windows = stored(_windows(texts), "windows")
+    star = stored(_verified(pairs, windows), "star")
     comp = components(star)
-    placed = member.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"))
+    named = windows.select("node", "size").join(comp, "node", "left").select("node", "size", F.coalesce("root", "node").alias("comp"))
+    placed = stored(member.join(named, "node").select("bucket", "node", "comp", "size"), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"))
     # buckets of the same nodes are looked at once
-    open_ = open_.where("lo <> hi").groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    left = placed.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
-    more = stored(_spanning(left.join(texts, "node")), "more")
+    open_ = stored(open_.where("lo <> hi").groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    left = stored(placed.join(open_, "bucket"), "left")
+    more = stored(_spanning(_blocks(left, budget).join(windows.select("node", "w"), "node")), "more")
     if more.isEmpty():
         final = comp
     else:
         final = components(star.unionByName(more))
     named = groups.join(final, "node", "left").select("f1", "f2", "node", "d", "absent", "th", F.coalesce("root", "node").alias("root"))
     named = stored(named, "named")
-    first = named.groupBy("root").agg(F.min(F.struct("absent", "d", "th")).alias("k"))
+    first = stored(named.groupBy("root").agg(F.min(F.struct("absent", "d", "th")).alias("k")), "first")
     classes = named.select("f1", "f2", "root").join(first, "root")
     out = sketch.select("d", "absent", "th", "f1", "f2").join(classes, ["f1", "f2"])
-    for table in (groups, member, pairs, texts, star, more):
+    for table in (groups, shared, member, leader, pairs, windows, star, placed, open_, left, more):
         discard(table)
     return out.select("d", "absent", "th", "k")
 

@@ -101,8 +101,8 @@ def test_classes_equal_brute_force(spark):
     docs = corpus()
     want = brute(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for block in (128, 16):
-        rows = nd.duplicate_classes(df, block=block).collect()
+    for budget in (1 << 20, 1 << 13):
+        rows = nd.duplicate_classes(df, budget=budget).collect()
         assert {r.d: r.k.d for r in rows} == want
     rows = nd.near_duplicates(df).collect()
     assert {r.doc_id: r.class_id for r in rows} == want
@@ -110,6 +110,87 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in nd.keep_one_of_each(df).collect()) == sorted(set(want.values()))
 
 
+def by_matrix(docs):
+    """As ``brute``, with all shared windows counted in one matrix product; for texts without repeated windows."""
+    sets = [set(grams(t)) for _, t in docs]
+    place = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[w] for w in s]] = 1
+    shared, size = has @ has.T, has.sum(1)
+    linked = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-6
+    label, before = np.arange(len(sets)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(linked, label[None, :], len(sets)).min(1)
+    return {d: docs[label[i]][0] for i, (d, _) in enumerate(docs)}
+
+
+def test_similar_pairs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        base, sets = rng.integers(0, 1 << 62, 60).astype(np.uint64), []
+        for _ in range(int(rng.integers(1, 70))):
+            kind = rng.random()
+            if kind < 0.7:
+                own = base[rng.random(60) < rng.choice((0.8, 0.9, 0.97))]
+                own = np.concatenate((own, rng.integers(0, 1 << 62, int(rng.integers(0, 9))).astype(np.uint64)))
+            elif kind < 0.9:
+                own = rng.choice(base, 4 + trial, replace=False)
+            else:
+                own = rng.integers(0, 1 << 62, 1 + trial * 7).astype(np.uint64)
+            sets.append(np.unique(own))
+        got = nd.similar_pairs(sets)
+        want = np.array([[overlap(a, b) >= 0.8 - 1e-9 for b in sets] for a in sets])
+        assert (got == want).all()
+
+
+def test_blocks_cover_every_pair_of_components_once_enough(spark):
+    """All pairs across components meet, no block is over its share, and rows stay in proportion to a large component."""
+    rng = random.Random(4)
+    # a bucket of one large component of 2,000 nodes and 30 others; one of small components only; one with one component
+    rows = [(1, n, 7 if n < 2000 else n, rng.randrange(100, 700)) for n in range(2030)]
+    rows += [(2, 10_000 + n, 10_000 + n // 2, 40) for n in range(50)] + [(3, 20_000 + n, 1, 40) for n in range(20)]
+    placed = spark.createDataFrame(rows, "bucket long, node long, comp long, size long")
+    comp = {(b, n): c for b, n, c, _ in rows}
+    for budget in (1 << 20, 1 << 16):
+        got = nd._blocks(placed, budget).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault((r.bucket, r.i, r.j), []).append(r.node)
+        met = {(b, x, y) for (b, _, _), g in groups.items() for x in g for y in g if comp[b, x] != comp[b, y] and x < y}
+        assert met == {(b, x, y) for b, x, cx, _ in rows for b2, y, cy, _ in rows if b == b2 and x < y and cx != cy}
+        assert len(got) <= 2 * len(rows)
+        assert max(map(len, groups.values())) <= 2.5 * budget / 512
+
+
+def test_a_large_group_of_near_copies_makes_rows_in_proportion(spark, monkeypatch):
+    """2,000 near copies, many of them less than 0.8 alike: no step makes more than some rows for each node and bucket."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(60)]
+    docs = []
+    for i in range(2000):
+        text = base[:]
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            text[rng.randrange(60)] = rng.choice(vocab)
+        docs.append((i, " ".join(text)))
+    made = {}
+    write = nd.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    inputs = []
+    spanning = nd._spanning
+    monkeypatch.setattr(nd, "stored", counted)
+    monkeypatch.setattr(nd, "_spanning", lambda m: spanning(inputs.append(m.count()) or m))
+    rows = nd.duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.d: r.k.d for r in rows} == by_matrix(docs)
+    assert max(made.values()) <= made["members"] <= 24 * len(docs) and inputs[0] <= made["members"]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(20000))
     rows = [(3, "a b c d e f", 1), (3, "a b c d e f", 1), (3, "other words in this one here", 2), (None, "a b c d e f", 3), (None, None, 4), (8, "", 5), (9, " \n", 6), (10, long, 7), (11, long + " x", 8), (None, "alone by itself it is now", 9)]
