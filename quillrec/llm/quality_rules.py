@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, text_of
+from .common import SPACE_CLASS, documents, stored, text_of
 
 SPACE, WORD = f"[{SPACE_CLASS}]+", f"[^{SPACE_CLASS}]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -22,12 +22,12 @@ def _covered(sorted_starts: Column) -> Column:
     return _let(sorted_starts, lambda q: F.aggregate(step(q), F.lit(0), lambda a, x: a + x))
 
 
-def _repeated(sorted_windows: Column, key, start) -> Column:
-    """Ascending starts of the windows whose key a neighbour in sorted order shares."""
+def _repeated(sorted_windows: Column) -> Column:
+    """Ascending places of the windows (h, i) whose hash a neighbour in sorted order shares."""
 
     def starts(s: Column) -> Column:
-        near = lambda v, i: (key(F.get(s, i - 1)) == key(v)) | (key(F.get(s, i + 1)) == key(v))
-        marked = F.transform(s, lambda v, i: F.when(F.coalesce(near(v, i), F.lit(False)), start(v)))
+        near = lambda v, k: (F.get(s, k - 1)["h"] == v["h"]) | (F.get(s, k + 1)["h"] == v["h"])
+        marked = F.transform(s, lambda v, k: F.when(F.coalesce(near(v, k), F.lit(False)), v["i"]))
         return F.sort_array(F.filter(marked, lambda p: p.isNotNull()))
 
     return _let(sorted_windows, starts)
@@ -36,17 +36,13 @@ def _repeated(sorted_windows: Column, key, start) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the text, the first one included.
 
-    Windows are 64-bit hashes. Only texts with a repeated window are sorted: up to 65,536 windows as longs of
-    48 hash bits and the position, longer texts as (hash, position) structs. Time is n log n in the words of a text.
+    Windows are 64-bit hashes. Only texts with a repeated window are sorted, as (hash, place) structs. Time is n log n in
+    the words of a text.
     """
 
     def count(win: Column) -> Column:
-        packed = F.sort_array(F.transform(win, lambda h, i: F.shiftleft(h, 16).bitwiseOR(i.cast("long"))))
         pairs = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        short = _repeated(packed, lambda v: F.shiftright(v, 16), lambda v: v.bitwiseAND(F.lit(65535)).cast("int"))
-        long = _repeated(pairs, lambda v: v["h"], lambda v: v["i"])
-        starts = F.when(F.size(win) <= 65536, short).otherwise(long)
-        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0)).otherwise(_covered(starts))
+        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0)).otherwise(_covered(_repeated(pairs)))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     windows = _let(
@@ -75,47 +71,57 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
-def depleted_documents(docs: DataFrame, max_documents: int = 10, max_removed: float = 0.5) -> DataFrame:
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that have a word: array of (h: hash, w: words)."""
+    found = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    count = lambda y: F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1
+    return F.transform(found, lambda x: _let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("h"), count(y).alias("w"))))
+
+
+def _over_limit(lines: DataFrame, max_documents: int) -> DataFrame:
+    """(host, h) of the lines that more than ``max_documents`` distinct documents of a host have; ``lines`` has host, h, th.
+
+    Documents with the same whole text (hash th) are one document, near copies are distinct ones. Distinct rows are
+    counted with partial sums, so a very common line is never in one place.
+    """
+    return lines.select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents).select("host", "h")
+
+
+def depleted_documents(texts: DataFrame, max_documents: int = 10, max_removed: float = 0.5) -> DataFrame:
     """Keys (doc_id, host, th: hash of the text) of documents that lose more than ``max_removed`` of their words.
 
-    A normalised line is over the limit if more than ``max_documents`` distinct documents of its host have it. Copies
-    are not distinct documents: a document counts by the hash of its whole text. Near copies are distinct. A line's distinct
-    documents are counted as (host, line, text hash) rows, then per line with partial sums, so a very common line is never in
-    one place. A null source is a host of its own.
+    ``texts`` has the key and lines (``_lines``). A normalised line is removed if more than ``max_documents`` distinct
+    documents of its host have it (``_over_limit``).
     """
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD))
-    parts = F.transform(
-        lines,
-        lambda x: _let(
-            normalised(x),
-            lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("w")),
-        ),
-    )
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
-    rows = rows.select("doc_id", "host", F.xxhash64("text").alias("th"), parts.alias("parts"))
-    rows = rows.select("doc_id", "host", "th", F.explode("parts").alias("p")).select("doc_id", "host", "th", "p.h", "p.w")
-    over = rows.select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
-    marked = rows.join(over.select("host", "h", F.lit(1).alias("over")), ["host", "h"], "left")
+    rows = texts.select("doc_id", "host", "th", F.explode("lines").alias("p")).select("doc_id", "host", "th", "p.h", "p.w")
+    over = _over_limit(rows, max_documents).withColumn("over", F.lit(1))
+    marked = rows.join(over, ["host", "h"], "left")
     sums = marked.groupBy("doc_id", "host", "th").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("over") == 1, F.col("w"))).alias("removed"))
     return sums.where(F.coalesce(F.col("removed"), F.lit(0)) > max_removed * F.col("all")).select("doc_id", "host", "th")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, host (a null source is the host of the empty name), th and text of every row."""
+    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
+    return rows.select("doc_id", "host", F.xxhash64("text").alias("th"), "text")
+
+
 def quality_rules(docs: DataFrame, max_documents: int = 10, max_removed: float = 0.5) -> DataFrame:
     """Counts of each whole text and the verdict: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, depleted.
 
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: neither that nor
     depleted by the removal of lines over the limit (``depleted_documents``). A null text has no words and fails.
-    Repeated rows are judged each on its own and get the same verdict; a null doc_id is a value like any other.
+    Repeated rows are judged each on its own and get the same verdict; a null doc_id is a value like any other. Texts are
+    read and split once: their counts and line hashes are stored.
     """
-    text = text_of()
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
-    rows = rows.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
-    rows = rows.select("doc_id", "host", F.xxhash64("text").alias("th"), *(c.alias(n) for n, c in text_counts(F.col("text"), F.col("words")).items()))
-    bad = depleted_documents(docs, max_documents, max_removed)
+    rows = _keyed(docs).withColumn("words", F.array_remove(F.split("text", SPACE), ""))
+    counts = [c.alias(n) for n, c in text_counts(F.col("text"), F.col("words")).items()]
+    rows = stored(rows.select("doc_id", "host", "th", *counts, _lines(F.col("text")).alias("lines")), "counts")
+    bad = depleted_documents(rows, max_documents, max_removed)
     bad = bad.select(F.col("doc_id").alias("b_id"), F.col("host").alias("b_host"), F.col("th").alias("b_th"))
     same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("host") == F.col("b_host")) & (F.col("th") == F.col("b_th"))
-    out = rows.join(bad, same, "left")
+    out = rows.drop("lines").join(bad, same, "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("b_th").isNotNull()
     return out.select(
@@ -125,14 +131,12 @@ def quality_rules(docs: DataFrame, max_documents: int = 10, max_removed: float =
 
 
 def cleaned(docs: DataFrame, max_documents: int = 10) -> DataFrame:
-    """doc_id and the text without the lines over the limit, for every row of ``docs``; see ``depleted_documents``."""
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    """doc_id and the text without the lines over the limit (``_over_limit``), for every row of ``docs``."""
+    rows = _keyed(docs)
     parts = rows.dropDuplicates(["doc_id", "host", "th"]).select("doc_id", "host", "th", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     norm = F.when(F.col("line").rlike(WORD), normalised(F.col("line")))
     parts = parts.withColumn("h", F.when(norm.isNotNull(), F.xxhash64(norm)))
-    over = parts.where("h is not null").select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") > max_documents)
-    kept = parts.join(over.select("host", "h"), ["host", "h"], "left_anti")
+    kept = parts.join(_over_limit(parts.where("h is not null"), max_documents), ["host", "h"], "left_anti")
     lines = kept.groupBy("doc_id", "host", "th").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
     lines = lines.select(F.col("doc_id").alias("d"), F.col("host").alias("o"), F.col("th").alias("t"), F.array_join("l.line", "\n").alias("clean"))
     return rows.join(lines, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("host") == F.col("o")) & (F.col("th") == F.col("t")), "left").select(
@@ -158,8 +162,8 @@ cov AS (SELECT i, count(DISTINCT p + o) AS n FROM key JOIN twice USING (i, k), (
 l AS (SELECT i, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT i, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT i, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY i),
-same AS (SELECT i, min(md5(norm)) AS body FROM lw GROUP BY i),
-freq AS (SELECT host, norm FROM lw JOIN same USING (i) GROUP BY host, norm HAVING count(DISTINCT body) > 10),
+body AS (SELECT i, md5(text) AS body FROM d),
+freq AS (SELECT host, norm FROM lw JOIN body USING (i) GROUP BY host, norm HAVING count(DISTINCT body) > 10),
 r AS (SELECT i, sum(len(string_split(norm, ' '))) AS a, sum(CASE WHEN freq.norm IS NOT NULL THEN len(string_split(lw.norm, ' ')) ELSE 0 END) AS rem
   FROM lw LEFT JOIN freq USING (host, norm) GROUP BY i),
 f AS (SELECT d.i, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

@@ -1,5 +1,6 @@
 """Quality classifier and quality rules."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -124,6 +125,39 @@ def test_documents_that_share_several_lines_are_distinct(spark):
     assert clean[3] == "own line 3" and clean[103] == rows[14][1] and clean[200] == rows[21][1]
 
 
+def verdicts(rows, limit=10):
+    """doc_id -> (kept, depleted) by brute force; doc_ids are distinct."""
+    lines_of = lambda t: [" ".join(w) for x in (t or "").split("\n") if (w := re.findall(r"[^ \x09-\x0d]+", x.lower()))]
+    holders = {}
+    for _, text, host in rows:
+        for line in lines_of(text):
+            holders.setdefault((host or "", line), set()).add(text or "")
+    out = {}
+    for d, text, host in rows:
+        sizes = [(len(x.split(" ")), len(holders[host or "", x]) > limit) for x in lines_of(text)]
+        n, _, _, _, again = brute(text)
+        depleted = sum(k for k, over in sizes if over) > 0.5 * sum(k for k, _ in sizes)
+        out[d] = (n >= 50 and 100 * again <= 50 * n and not depleted, depleted)
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Any footer counts alike, whatever its hash: 40 hosts, each with its own; and documents dealt at random."""
+    rng = random.Random(6)
+    rows = []
+    for host in range(40):
+        footer = " ".join(f"h{host}f{k}" for k in range(66))
+        rows += [(len(rows) + i, "\n".join([*(f"d{host} {i} {j} a b c" for j in range(6)), footer]), f"h{host}") for i in range(9 + host % 5)]
+    pool = ["\t ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    for i in range(600):
+        text = "\n".join(rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randrange(7)))
+        rows.append((10_000 + i, text if i % 97 else None, rng.choice(("x", "y", None))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = verdicts(rows)
+    assert {r.doc_id: (r.kept, r.depleted) for r in qr.quality_rules(df).collect()} == want
+    assert 100 < sum(d for _, d in want.values()) < len(rows) - 100
+
+
 def test_rules_on_odd_rows(spark):
     rows = [(i if i else None, t, "s") for i, t in enumerate(ODD)] + [(3, ODD[3], "s"), (3, ODD[3], "s"), (3, "other", "s")]
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, source string, kept boolean")
