@@ -355,16 +355,22 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of UTF-8 texts, and where each text's words start (len(texts) + 1 offsets)."""
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in one array, where its words start and end, and where each text's words start (len(texts) + 1 offsets)."""
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    n = len(buf)
     space = _IS_SPACE[buf]
-    before = np.empty(n, dtype=bool)
+    before = np.empty(len(buf), dtype=bool)
     before[0] = True
     before[1:] = space[:-1]
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
+    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    return buf, starts, ends, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+
+
+def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places."""
+    n = len(buf)
     up = np.full(n + 1, _P, dtype=np.uint64)
     up[0] = 1
     np.multiply.accumulate(up, out=up)
@@ -374,9 +380,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     down = np.full(n + 1, _P_INV, dtype=np.uint64)
     down[0] = 1
     np.multiply.accumulate(down, out=down)
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    return hashes, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of UTF-8 texts, and where each text's words start (len(texts) + 1 offsets)."""
+    buf, starts, ends, at = word_places(texts)
+    return hashes_of(buf, starts, ends), at
 
 
 def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:

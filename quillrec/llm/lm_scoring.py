@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,28 +11,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, stored, text_of
+from .common import discard, documents, fold_of, hashes_of, slices, stored, text_of, word_places
 
-END = b" "  # no word has a space
-#: Classes of the words outside the head, by their shape (fixed values).
+#: The hash that stands for the end of a text; a word's is any of 2**64.
+END = np.uint64(0)
+#: Classes of the words that no context has put into a class, by their shape (fixed values).
 SHAPES = ("digit", "other", "stop", "short", "long")
+#: Words that a task gathers before it counts them.
+GATHERED = 700_000
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words (A-Z lower-cased) between space and \\x09-\\x0D, as UTF-8; bytes.lower and bytes.split do just that."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and shapes of the texts' words (A-Z lower-cased), and where each text's words start.
 
-
-def shape_of(word: bytes) -> int:
-    """The tail class of a word: it depends on the word alone."""
-    if any(48 <= b <= 57 for b in word):
-        return 0
-    last = word[-1]
-    if last in b".!?":
-        return 2
-    if last < 97 and last != 39 or 122 < last < 128:
-        return 1
-    return 3 if len(word) < 8 else 4
+    A word's shape: it has a digit; or its last byte is a full stop, question or exclamation mark; or another ASCII character that
+    is no letter and no apostrophe; else whether it has fewer than eight bytes.
+    """
+    buf, starts, ends, at = word_places([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+    digits = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57))))
+    last = buf[ends - 1]
+    shape = np.where(ends - starts < 8, 3, 4).astype(np.uint8)
+    shape[((last < 97) & (last != 39)) | ((last > 122) & (last < 128))] = 1
+    shape[(last == 46) | (last == 33) | (last == 63)] = 2
+    shape[digits[ends] > digits[starts]] = 0
+    return hashes_of(buf, starts, ends), shape, at
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -89,82 +90,134 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, fixed: int,
 class Model:
     """What the tasks need: bounded by the head's size, whatever the corpus."""
 
-    head: dict[bytes, int]  # word -> position; the clustered words come first
-    count: np.ndarray  # training count of each head word
-    cls: np.ndarray  # class of each head word, then of the shapes
+    keys: np.ndarray  # the head words' hashes, ascending
+    count: np.ndarray  # training count of each
+    cls: np.ndarray  # class of each; the shapes' classes come last
     log_next: np.ndarray  # log10 P(class | class before)
     log_emit: np.ndarray  # log10 P(word | class) of each head word
     log_tail: np.ndarray  # log10 of the denominator of each shape class
-    start: int
     total: int  # N
     vocabulary: int  # V
+    least: int  # words with a smaller count are outside the head
 
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The head's position of each hash, -1 outside it."""
+        return place_in(self.keys, hashes)
 
-def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
-    """word (binary) and n over ``docs`` (column text), one END for each row. A task holds at most about ``most`` words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+def place_in(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, hashes)
+    np.minimum(at, len(keys) - 1, out=at)
+    at[keys[at] != hashes] = -1
+    return at
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """d, th, absent, train as in ``rows``, and of its text h and s: the hashes (8 bytes each) and shapes (a byte each) of its
+    words and of the end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(tokens(text))
-                seen[END] += 1
-                if len(seen) >= most:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+            texts = pdf["text"].tolist()
+            for a, b in slices(texts, 500_000):
+                h, s, at = hashed_words(texts[a:b])
+                at = at.tolist()
+                end = END.tobytes()
+                out = pdf.iloc[a:b].drop(columns="text")
+                yield out.assign(h=[h[x:y].tobytes() + end for x, y in zip(at, at[1:], strict=False)], s=[s[x:y].tobytes() + b"\0" for x, y in zip(at, at[1:], strict=False)])
+
+    return rows.mapInPandas(run, "d long, th long, absent boolean, train boolean, h binary, s binary")
+
+
+def _gathered(batches: Iterator[pd.DataFrame], most: int = GATHERED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and shapes of about ``most`` tokens at a time, whole texts one after the other; the end of each text opens the next."""
+    h: list[bytes] = []
+    s: list[bytes] = []
+    size = 0
+    for pdf in batches:
+        for one, two in zip(pdf["h"], pdf["s"], strict=True):
+            h.append(one)
+            s.append(two)
+            size += len(two)
+            if size >= most:
+                yield np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(s), np.uint8)
+                h, s, size = [], [], 0
+    if size:
+        yield np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(s), np.uint8)
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """h (the hash as a long), s (the shape) and n of every word of ``tokenised`` texts, the end included."""
 
-    return docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for h, s in _gathered(batches):
+            key, first, n = np.unique(h, return_index=True, return_counts=True)
+            yield pd.DataFrame({"h": key.view(np.int64), "s": s[first].astype(np.int32), "n": n})
+
+    return tokens.select("h", "s").mapInPandas(run, "h long, s int, n long").groupBy("h").agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+
+
+def bigram_counts(tokens: DataFrame, keys: np.ndarray, symbol: np.ndarray, known: int) -> DataFrame:
+    """Counts (a, b, n) of adjacent symbols: ``symbol`` of a word in ``keys``, ``known`` plus its shape of any other. The end opens
+    and closes every text. Each task sums all its texts in one table of symbols by symbols."""
+    size = known + len(SHAPES)
+    shared = tokens.sparkSession.sparkContext.broadcast((keys, symbol.astype(np.int32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (keys, symbol), table = shared.value, np.zeros(size * size, dtype=np.int64)
+        end = symbol[place_in(keys, np.array([END]))]
+        for h, s in _gathered(batches):
+            at = place_in(keys, h)
+            x = np.concatenate((end, np.where(at >= 0, symbol[at], s.astype(np.int64) + known)))
+            table += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
+        filled = np.flatnonzero(table)
+        yield pd.DataFrame({"a": (filled // size).astype(np.int32), "b": (filled % size).astype(np.int32), "n": table[filled]})
 
+    return tokens.select("h", "s").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def _symbols(words: list[bytes], head: dict[bytes, int], clustered: int) -> np.ndarray:
-    """Each word's symbol: its position if clustered, else clustered + its shape."""
-    get = head.get
-    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    for i in np.flatnonzero((ids < 0) | (ids >= clustered)).tolist():
-        ids[i] = clustered + shape_of(words[i])
-    return ids
 
+def _table(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = pairs.toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
+    return tuple(got.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
 
-def bigram_counts(docs: DataFrame, head: dict[bytes, int], clustered: int) -> DataFrame:
-    """Counts of adjacent symbols over ``docs``: END opens and closes every text."""
-    size = clustered + len(SHAPES)
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for w, i in head.items() if i < clustered})
+
+def exchanged(tokens: DataFrame, keys: np.ndarray, cls: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An exchange step for the words of ``keys`` without a class (-1 in ``cls``): their positions, and the class of each.
+
+    A word joins the class that raises the bigram class likelihood most, given ``table`` (class bigrams of the words that have
+    one) and the word's neighbours of these classes over the whole corpus. Words without such a neighbour are left out. The counts of
+    a word's neighbours by class and side are summed per task, then per word (at most twice the number of classes).
+    """
+    classes = len(table)
+    smooth = table + 0.5
+    # log P(class before | class) and log P(class after | class), for rows (side, neighbour's class)
+    weight = np.concatenate((np.log(smooth / smooth.sum(0, keepdims=True)), np.log(smooth / smooth.sum(1, keepdims=True)).T))
+    shared = tokens.sparkSession.sparkContext.broadcast((keys, cls.astype(np.int16)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        end, shapes = table[END], {}
+        keys, cls = shared.value
+        end = cls[place_in(keys, np.array([END]))]
+        for h, _ in _gathered(batches):
+            at = place_in(keys, h)
+            own = np.where(at >= 0, cls[at], -2)  # -2: not in the head
+            near = np.concatenate((end, own, end))
+            free = np.flatnonzero(own == -1)
+            before, after = near[free], near[free + 2]
+            key = at[free].astype(np.int64) * (2 * classes)
+            found, n = np.unique(np.concatenate(((key + before)[before >= 0], (key + classes + after)[after >= 0])), return_counts=True)
+            yield pd.DataFrame({"i": (found // (2 * classes)).astype(np.int32), "side": (found % (2 * classes)).astype(np.int32), "n": n})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids: list[int] = []
-            for text in pdf["text"]:
-                ids.append(end)
-                for w in tokens(text):
-                    i = table.get(w)
-                    if i is None:
-                        i = shapes.get(w)
-                        if i is None:
-                            if len(shapes) > 200_000:
-                                shapes.clear()
-                            i = shapes[w] = clustered + shape_of(w)
-                    ids.append(i)
-                if len(ids) > 2_000_000:
-                    yield counted(ids + [end])
-                    ids = []
-            if ids:
-                yield counted(ids + [end])
-
-    def counted(ids: list[int]) -> pd.DataFrame:
-        # the END that opens the next text closes this one
-        x = np.array(ids, dtype=np.int64)
-        keys, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
-        return pd.DataFrame({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "n": n})
-
-    return docs.select("text").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+            gain = np.zeros((len(pdf), classes))
+            for r, (side, n) in enumerate(zip(pdf["sides"], pdf["ns"], strict=True)):
+                gain[r] = np.asarray(n, dtype=float) @ weight[np.asarray(side)]
+            yield pd.DataFrame({"i": pdf["i"], "c": gain.argmax(axis=1).astype(np.int32)})
+
+    seen = tokens.select("h", "s").mapInPandas(run, "i int, side int, n long").groupBy("i", "side").agg(F.sum("n").alias("n"))
+    words = seen.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("side", "n"))).alias("l")).select("i", F.col("l.side").alias("sides"), F.col("l.n").alias("ns"))
+    got = words.mapInPandas(best, "i int, c int").toArrow()
+    return got.column("i").to_numpy(), got.column("c").to_numpy()
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -180,126 +233,144 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(counts: DataFrame, docs: DataFrame, clustered: int = 1200, head: int = 120_000, classes: int = 48) -> Model:
-    """Fits the model from ``counts`` (``word_counts`` of the training documents) and ``docs`` (those documents).
+def train(counts: DataFrame, tokens: DataFrame, clustered: int = 1200, head: int = 1_000_000, classes: int | None = None) -> Model:
+    """Fits the model from the training texts (``tokens``, as ``tokenised`` gives them) and their ``word_counts``.
+
+    1. The ``clustered`` most frequent words are put into classes by exchange on the driver, over bigram counts of the whole
+       training part (at most (clustered + 5) squared pairs reach it).
+    2. All other words of the head go through a distributed exchange step against these classes (``exchanged``).
+    3. Class bigrams of all tokens are counted with the classes of all words.
 
-    The ``clustered`` most frequent words are put into classes by exchange, over bigram counts of the whole training
-    part (at most (clustered + 5) squared pairs reach the driver). All other words belong to one of five classes by their shape.
-    The counts of at most ``head`` of the most frequent words are kept in the model, so a task looks most words up by
-    itself. Those words are found by a bound on their counts: nothing is ordered in one task.
+    The head is the ``head`` most frequent words, found by a bound on their counts, so that nothing is ordered in one task; the
+    model keeps 18 bytes for each. Words outside it, and those that never stand beside a clustered word, belong to one of five
+    classes by their shape. The number of classes is the fourth root of the number of tokens, 2 to 256, unless given.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = int(row.n or 0), int(row.v or 0)
-    top = counts.where(F.col("n") >= _least_count(counts, head)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    words, number = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
-    del top
-    if END in words:  # it must be clustered
-        at = words.index(END)
-        words.insert(0, words.pop(at))
-        number = np.concatenate((number[at : at + 1], np.delete(number, at)))
-    else:
-        words.insert(0, END)
-        shown = counts.where(F.col("word") == F.lit(END)).first()
-        number = np.concatenate(([shown.n if shown else 0], number)).astype(np.int64)
-    clustered = min(clustered, len(words))
-    index = {w: i for i, w in enumerate(words)}
-    pairs = bigram_counts(docs, index, clustered).toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
-    size = clustered + len(SHAPES)
-    a, b, n = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
-    cls = exchange(a, b, n.astype(float), size, len(SHAPES), classes)
+    classes = classes or max(2, min(256, round(total**0.25)))
+    least = _least_count(counts, head)
+    top = counts.where((F.col("n") >= least) | (F.col("h") == int(END))).toArrow()
+    keys, shape, number = top.column("h").to_numpy().view(np.uint64), top.column("s").to_numpy(), top.column("n").to_numpy().astype(np.int64)
+    if END not in keys:  # no training text
+        keys, shape, number = np.append(keys, END), np.append(shape, 0), np.append(number, 0)
+    order = np.argsort(keys, kind="stable")
+    keys, shape, number = keys[order], shape[order], number[order]
+    at_end = int(np.searchsorted(keys, END))
+    rank = np.lexsort((keys, -number, np.arange(len(keys)) != at_end))  # the end comes first: it must be clustered
+    core = np.sort(rank[:clustered])
+    size = len(core) + len(SHAPES)
+    a, b, n = _table(bigram_counts(tokens, keys[core], np.arange(len(core)), len(core)))
+    # the most frequent words start in different classes
+    by_count = np.concatenate((np.argsort(np.lexsort((keys[core], -number[core]))), len(core) + np.arange(len(SHAPES))))
+    found = exchange(by_count[a], by_count[b], n.astype(float), size, len(SHAPES), classes)[by_count]
+    table = np.zeros((classes + len(SHAPES),) * 2)
+    np.add.at(table, (found[a], found[b]), n)
+    cls = np.full(len(keys), -1, dtype=np.int64)
+    cls[core] = found[: len(core)]
+    if len(core) < len(keys):
+        i, c = exchanged(tokens, keys, cls, table[:classes, :classes])
+        cls[i] = c
+    shaped = cls < 0
+    cls[shaped] = classes + shape[shaped]
     width = classes + len(SHAPES)
-    step = np.full((width, width), 0.5)
-    np.add.at(step, (cls[a], cls[b]), n)
-    log_next = np.log10(step / step.sum(1, keepdims=True))
-    head_cls = np.concatenate((cls[:clustered], np.array([classes + shape_of(w) for w in words[clustered:]], dtype=np.int64)))
-    # emissions: a clustered class holds its words; a shape class also has one slot for every unseen word
+    a, b, n = _table(bigram_counts(tokens, keys, cls, classes))
+    # a class holds its words; a shape class also those outside the head, and one slot for every unseen word
     in_class = np.zeros(width)
-    np.add.at(in_class, cls[b], n)
-    kinds = np.bincount(cls[:clustered], minlength=width).astype(float)
+    np.add.at(in_class, b, n)
+    kinds = np.bincount(cls, minlength=width).astype(float)
+    outside = counts.where((F.col("n") < least) & (F.col("h") != int(END))).groupBy("s").count().collect()
+    for r in outside:
+        kinds[classes + r.s] += r["count"]
+    kinds[classes:] += 1
+    step = np.full((width, width), 0.5)
+    step[:, kinds == 0] = 0  # no word is in such a class
+    np.add.at(step, (a, b), n)
+    with np.errstate(divide="ignore"):
+        log_next = np.log10(step / step.sum(1, keepdims=True))
     denominator = in_class + 0.5 * np.maximum(kinds, 1)
-    denominator[classes:] = in_class[classes:] + 0.5 * (max(vocabulary - clustered, 0) + 1)
-    log_emit = np.log10(number + 0.5) - np.log10(denominator[head_cls])
-    return Model(index, number, np.concatenate((head_cls, classes + np.arange(len(SHAPES)))), log_next, log_emit, np.log10(denominator[classes:]), int(cls[0]), total, vocabulary)
+    log_emit = np.log10(number + 0.5) - np.log10(denominator[cls])
+    return Model(keys, number, cls.astype(np.int16), log_next, log_emit, np.log10(denominator[classes:]), total, vocabulary, least)
 
 
-def partial_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """One row of sums for each row of ``docs`` (word null), and one for each distinct word of it outside the model's head.
+def partial_scores(tokens: DataFrame, model: Model) -> DataFrame:
+    """One row of sums for each row of ``tokens`` (h null), and one for each distinct word of it outside the model's head.
 
-    ``docs`` has d and th (long), which name a document, and text. Columns: d, th, word, n, n_tokens, n_known, base (without
-    the tail words' counts), score (likewise).
+    Columns: d, th, h, n, n_tokens, n_known, base (without the counts of the words outside the head), score (likewise).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        get, log_count = m.head.get, np.log10(m.count + 0.5)
-        shapes: dict[bytes, int] = {}
-        top, width = len(m.count), len(m.log_next)
-        first_shape = width - len(SHAPES)
-        known = m.count > 0
+        log_count, known = np.log10(m.count + 0.5), m.count > 0
+        first_shape = len(m.log_next) - len(SHAPES)
+        start = m.cls[m.place(np.array([END]))]
         for pdf in batches:
-            out: list[tuple] = []
-            tails: list[tuple] = []
-            for d, th, text in zip(pdf["d"], pdf["th"], pdf["text"], strict=True):
-                words = tokens(text)
-                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                rare = np.flatnonzero(ids < 0)
-                counter: Counter = Counter()
-                if len(rare):
-                    unknown = [words[i] for i in rare.tolist()]
-                    counter.update(unknown)
-                    for w in counter:
-                        if w not in shapes:
-                            if len(shapes) > 200_000:
-                                shapes.clear()
-                            shapes[w] = shape_of(w)
-                    ids[rare] = top + np.fromiter((shapes[w] if w in shapes else shape_of(w) for w in unknown), np.int64, len(unknown))
-                ids = np.append(ids, 0)  # END
-                cls = m.cls[ids]
-                score = m.log_next[np.concatenate(([m.start], cls[:-1])), cls].sum()
-                inside = ids[ids < top]
-                score += m.log_emit[inside].sum()
-                if len(rare):
-                    score -= m.log_tail[cls[:-1][rare] - first_shape].sum()
-                out.append((d, th, None, 0, len(ids), int(known[inside].sum()), float(log_count[inside].sum()), float(score)))
-                tails += [(d, th, w, c) for w, c in counter.items()]
-                if len(tails) > 100_000:
-                    yield frame(out, tails)
-                    out, tails = [], []
-            if out or tails:
-                yield frame(out, tails)
-
-    def frame(out: list[tuple], tails: list[tuple]) -> pd.DataFrame:
-        cols = list(zip(*out, *((*t, 0, 0, 0.0, 0.0) for t in tails), strict=True))
-        return pd.DataFrame(dict(zip(("d", "th", "word", "n", "n_tokens", "n_known", "base", "score"), cols, strict=True)))
-
-    schema = "d long, th long, word binary, n long, n_tokens long, n_known long, base double, score double"
-    return docs.select("d", "th", "text").mapInPandas(run, schema)
-
-
-def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 1200, head: int = 120_000, classes: int = 48) -> DataFrame:
+            for a, b in slices(pdf["s"].tolist(), 300_000):
+                part = pdf.iloc[a:b]
+                yield from scored(m, part, log_count, known, first_shape, start)
+
+    def scored(m, part, log_count, known, first_shape, start):
+        h, s = np.frombuffer(b"".join(part["h"]), np.uint64), np.frombuffer(b"".join(part["s"]), np.uint8)
+        size = part["s"].map(len).to_numpy()
+        first = np.cumsum(size) - size
+        at = m.place(h)
+        cls = np.where(at >= 0, m.cls[at], s.astype(np.int64) + first_shape)
+        score = m.log_next[np.concatenate((start, cls[:-1])), cls]
+        inside = at >= 0
+        score = score + np.where(inside, m.log_emit[at], -m.log_tail[np.maximum(cls - first_shape, 0)])
+        base = np.where(inside, log_count[at], 0.0)
+        seen = inside & known[at]
+        d, th = part["d"].to_numpy(), part["th"].to_numpy()
+        sums = {"n_tokens": size, "n_known": np.add.reduceat(seen.astype(np.int64), first), "base": np.add.reduceat(base, first), "score": np.add.reduceat(score, first)}
+        yield pd.DataFrame({"d": d, "th": th, "h": pd.array([None] * len(d), dtype="Int64"), "n": 0, **sums})
+        rare = np.flatnonzero(~inside)
+        if len(rare):
+            owner = np.repeat(np.arange(len(d)), size)[rare]
+            order = np.lexsort((h[rare], owner))
+            owner, word = owner[order], h[rare][order]
+            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]))))
+            times, owner = np.diff(np.append(new, len(owner))), owner[new]
+            yield pd.DataFrame({"d": d[owner], "th": th[owner], "h": pd.array(word[new].view(np.int64), dtype="Int64"), "n": times, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
+
+    schema = "d long, th long, h long, n long, n_tokens long, n_known long, base double, score double"
+    return tokens.select("d", "th", "h", "s").mapInPandas(run, schema)
+
+
+def named(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
+    """d (doc_id, null as 0), th (hash of the text and of whether doc_id is null), absent, train, text for each row."""
+    rows, absent = docs.select(F.col("doc_id"), text_of().alias("text")), F.col("doc_id").isNull()
+    return rows.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text", absent).alias("th"), absent.alias("absent"),
+        (fold_of(F.col("doc_id")) != held_out_fold).alias("train"), "text",
+    )
+
+
+def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 1200, head: int = 1_000_000, classes: int | None = None) -> DataFrame:
     """Scores every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learned from the rows whose fold (crc32 of the doc_id as text, mod 5) is not ``held_out_fold``. Null texts count as
     empty: their only token is the end. Rows that repeat doc_id and text are returned as often as they occur. Without
     training rows N and V are 0 and every token is unknown.
 
-    P(text) = product over tokens of P(class | class before) P(word | class), both with 0.5 added to every count. The
-    words that are not in the bounded head are joined with the counts of the whole corpus, pre-aggregated by document.
+    P(text) = product over tokens of P(class | class before) P(word | class), both with 0.5 added to every count, all unseen words
+    of a shape being one word: for each class the probabilities of what can follow add up to 1. Texts are split once; words are
+    64-bit hashes from then on. The words that are not in the bounded head are joined with the counts of the whole corpus,
+    pre-aggregated by document.
     """
-    rows = docs.select(F.col("doc_id"), text_of().alias("text"))
-    training = rows.where(fold_of(F.col("doc_id")) != held_out_fold).select("text")
+    tokens = stored(tokenised(named(docs, held_out_fold)), "tokens")
+    nulls = stored(tokens.where("absent").select("d", "th").distinct(), "nulls")
+    training = tokens.where("train")
     counts = stored(word_counts(training), "counts")
     model = train(counts, training, clustered, head, classes)
-    absent = F.col("doc_id").isNull()
-    named = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text", absent).alias("th"), absent.alias("absent"), "text")
-    parts = stored(partial_scores(named, model), "parts")
+    parts = stored(partial_scores(tokens, model), "parts")
+    discard(tokens)
     total, vocabulary = model.total, model.vocabulary
     scale = float(np.log10(total + 0.5 * (vocabulary + 1)))
     c = F.coalesce(F.col("c"), F.lit(0))
-    tail = parts.where("word is not null").select("d", "th", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rare = counts.where(F.col("n") < model.least).select("h", F.col("n").alias("c"))
+    tail = parts.where("h is not null").select("d", "th", "h", "n").join(rare, "h", "left")
     tail = tail.select("d", "th", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(c + 0.5)).alias("logs"))
-    whole = parts.where("word is null")
+    whole = parts.where("h is null")
     # one sum over both kinds of rows; a document that occurs k times has every row k times
     sums = (
         tail.select("d", "th", F.lit(0).cast("long").alias("times"), F.lit(0).cast("long").alias("n_tokens"), "known", F.lit(0.0).alias("base"), F.lit(0.0).alias("own"), "logs")
@@ -315,8 +386,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 12
         ((F.col("own") + F.col("logs")) / F.col("times")).alias("score"),
     )
     ids = sums.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    nulls = named.where("absent").select("d", "th").distinct().withColumn("absent", F.lit(True))
-    ids = ids.join(nulls, ["d", "th"], "left")
+    ids = ids.join(nulls.withColumn("absent", F.lit(True)), ["d", "th"], "left")
     doc_id = F.when(F.col("absent").isNull(), F.col("d")).cast(docs.schema["doc_id"].dataType)
     return ids.withColumn("doc_id", doc_id).select(
         "doc_id", (fold_of(F.col("doc_id")) == held_out_fold).alias("held_out"), "n_tokens", "n_known",
