@@ -2,11 +2,18 @@
 
 import random
 
+import numpy as np
+
 from quillrec.llm import decontamination as dc
 
 SF = "/root/testdata/sf0.01"
 
 
+def windows(ids, width):
+    k = min(width, len(ids))
+    return {tuple(ids[j : j + k]) for j in range(len(ids) - k + 1)} if k else set()
+
+
 def brute(docs, items, overlap=0.8):
     out = set()
     for d, text in docs:
@@ -15,7 +22,7 @@ def brute(docs, items, overlap=0.8):
             if item is None or not dc.words(item):
                 continue
             q, a = dc.question_and_answer(item)
-            share = [len(dc.windows(p, 5) & dc.windows(doc, min(5, len(p)))) / len(dc.windows(p, 5)) for p in (q, a)]
+            share = [len(windows(p, 5) & windows(doc, min(5, len(p)))) / len(windows(p, 5)) for p in (q, a)]
             if min(share) >= overlap:
                 out.add((d, i))
     return out
@@ -65,12 +72,53 @@ def test_parts_far_apart():
     assert got == brute(docs, items) == {(0, 1), (1, 1), (3, 2), (4, 3), (5, 4)}
 
 
+def test_scattered_runs_and_repeated_words():
+    """Runs of an item's words stand in any order and far apart, or its words repeat: windows find what no passage holds."""
+    rng = random.Random(9)
+    items, texts = [], []
+    for i in range(40):
+        q = [rng.choice((f"q{i}", f"r{i}", "the")) if i % 3 == 0 else f"{i}n{k}" for k in range(rng.randrange(8, 90))]
+        a = [f"{i}a{k}" for k in range(rng.randrange(1, 12))]
+        items.append((i if i % 9 else None, " ".join(q) + "\n" + " ".join(a)))
+        cuts = sorted(rng.sample(range(1, len(q)), min(rng.randrange(4), len(q) - 1)))
+        runs = [q[x:y] for x, y in zip([0, *cuts], [*cuts, len(q)], strict=True)] + [a]
+        rng.shuffle(runs)
+        texts.append(f" {'gap ' * 70}".join(" ".join(r) for r in runs))
+    got = {(d, m[0]) for d, own in enumerate(dc.Index(items).matches(texts)) for m in own if min(m[2:]) >= 0.8}
+    assert got == brute(list(enumerate(texts)), items) and len(got) > 15
+
+
+def test_search_equals_sums_over_all_postings():
+    rng = random.Random(5)
+    vocab = [f"w{int(rng.paretovariate(0.8))}" for _ in range(3000)]
+    index = dc.Index([(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 60)))) for i in range(700)])
+    starts = index.start
+    found = 0
+    for _ in range(300):
+        terms = np.unique([index.term[w] for w in rng.sample(sorted(index.term), 20)] + [index.term[w] for w in rng.choices(vocab, k=30) if w in index.term])
+        if rng.random() < 0.5:  # most of an entry
+            e = rng.randrange(len(index.item_of))
+            own = np.flatnonzero([e in index.entry[a:b] for a, b in zip(starts, starts[1:], strict=False)])
+            terms = np.unique(np.concatenate((terms, own[: len(own) - rng.randrange(3)])))
+        total = np.zeros(len(index.item_of))
+        for t in terms.tolist():
+            total[index.entry[starts[t] : starts[t + 1]]] += index.impact[starts[t] : starts[t + 1]]
+        want = set(np.flatnonzero(total >= 1 - 1e-9).tolist())
+        hits = dict(index.search(terms.tolist()))
+        assert set(hits) == want and all(abs(hits[e] - total[e]) < 1e-9 for e in want)
+        assert index.promising(terms) or not want
+        found += len(want)
+    assert found > 50
+
+
 def test_odd_rows(spark):
     item = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (None, f"A {item.upper()}!", None), (3, None, ""), (4, "", ""), (5, "z " * 60000 + item, "")], "doc_id long, text string, item_id string")
-    items = spark.createDataFrame([(7, item), (8, item), (9, None), (10, ""), (11, " ,. ")], "item_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, item), (9, None), (10, ""), (11, " ,. "), (None, item)], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()), key=str)
-    assert got == sorted([(1, 7), (1, 8), (1, 7), (1, 8), (None, 7), (None, 8), (5, 7), (5, 8)], key=str)
+    assert got == sorted([(d, i) for d in (1, 1, None, 5) for i in (7, 8, None)], key=str)
+    nameless = dc.contaminated(docs, items.where("item_id is null"))
+    assert sorted((str(r.doc_id), r.item_id) for r in nameless.collect()) == [("1", None), ("1", None), ("5", None), ("None", None)]
     kept = dc.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
     assert dc.contaminated(docs.limit(0), items).count() == 0 and dc.contaminated(docs, items.limit(0)).count() == 0
