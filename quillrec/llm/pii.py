@@ -111,7 +111,9 @@ def discovered(found: DataFrame, rounds: int = 3, least: float = 0.9, support: i
     by = Window.partitionBy(*KEY).orderBy("start", F.col("word").isNotNull())
     is_base = F.col("word").isNull()
     earlier = F.max(F.when(is_base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.min(F.when(is_base, F.col("start"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # from the last row on: a frame that ends at the current row only grows, so each row costs the same
+    back = Window.partitionBy(*KEY).orderBy(F.desc("start"), F.col("word").isNotNull().desc())
+    later = F.min(F.when(is_base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     # a base span that starts before a candidate word and ends in or after it
     words = Window.partitionBy(*KEY).orderBy("at", is_base)
     crossed = F.max(F.when(is_base, F.col("end"))).over(words.rowsBetween(Window.unboundedPreceding, -1)) > F.col("at")
