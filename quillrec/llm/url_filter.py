@@ -57,15 +57,26 @@ def link_targets(html: Column) -> Column:
     return F.filter(F.concat(href, to), lambda x: x != "")
 
 
+def folded(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` steps; one that would leave the root stays there."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x))
+    return F.aggregate(F.filter(F.split(path, "/"), lambda x, i: i > 0), F.lit(""), step)
+
+
 def resolved(target: Column, url: Column) -> Column:
-    """An absolute URL for a link target found at ``url``."""
-    root = F.concat(F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1))
-    folder = F.regexp_extract(F.concat(F.lit("/"), path_of(url)), r"^/(.*/)?", 1)
+    """An absolute URL for a link target found at ``url``: ``&amp;`` is an ampersand, relative targets start at the page."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    root = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    to = F.when(own == "", path).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    rest = F.when(target.startswith("#") | (target == ""), F.concat(query, target)).otherwise(rest)
     return (
-        F.when(F.locate("://", target) > 0, target)
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?):", 1), F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .otherwise(F.concat(root, F.when(to == "", "").otherwise(folded(to)), rest))
     )
 
 
@@ -85,8 +96,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     A page that a rule fits has that rule's verdict. Any other page belongs to the component of its URL in the graph of
     redirects, canonical links and equal canonical forms: it is blocked if a rule blocks a member of the component and
     none allows one (an explicit allow has precedence), else allowed. A null URL, or one without ``://``, has an empty
-    host and path and is allowed. Link targets are members too, whether or not they are rows of ``pages``. Rows with repeated or null page_ids are judged each on its own. ``rules`` is a list
-    of (verdict, rule) kept in the plan, so meant for up to some thousand rules. Nodes are 64-bit hashes of the forms.
+    host and path and is allowed. Link targets are members too, whether or not they are rows of ``pages``; relative ones are
+    resolved. Rows with repeated or null page_ids are judged each on its own. ``rules`` is a list of (verdict, rule) kept in the
+    plan, so meant for up to some thousand rules. Nodes are 64-bit hashes of the forms.
     """
     url = F.col("url").cast("string")
     found = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64(canonical_form(url)).alias("h"), canonical_form(url).isNotNull().alias("real"))
@@ -96,7 +108,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     links = links.select("a", "to", canonical_form(F.col("to")).alias("b"))
     edges = links.where("a is not null and b is not null and a <> b").select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
     comp = components(edges)
-    linked = links.where("b is not null").select(F.xxhash64("b").alias("node"), rule_for(host_of(F.col("to")), path_of(F.col("to")), rules).alias("hit"))
+    linked = links.where("a is not null and b is not null").select(F.xxhash64("b").alias("node"), rule_for(host_of(F.col("to")), path_of(F.col("to")), rules).alias("hit"))
     ruled = found.select("node", "hit").union(linked).where("hit is not null and node is not null").groupBy("node").agg(F.max("hit.allow").alias("allow"), F.max(~F.col("hit.allow")).alias("block"))
     flags = ruled.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     blocked = flags.where("block and not allow").select("root")
@@ -130,16 +142,27 @@ p AS (SELECT row_number() OVER () AS i, page_id, html, url,
 hit AS (SELECT p.i, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(rules.verdict, length(rules.rule)) AS verdict
   FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path) GROUP BY p.i),
 raw AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM pages),
-l AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
-  WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS t FROM raw),
+l AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS t FROM raw),
+parts AS (SELECT url, t, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS query, regexp_extract(t, '^[^?#]*') AS own, regexp_extract(t, '^[^?#]*(.*)', 1) AS rest FROM l WHERE t <> '' AND url LIKE '%://%'),
+goes AS (SELECT *, CASE WHEN own = '' THEN path WHEN starts_with(own, '/') THEN own ELSE '/' || regexp_extract(path, '^/(.*/)?', 1) || own END AS dest FROM parts),
+far AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+  WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?):', 1) || ':' || t
+  ELSE root || (CASE WHEN dest = '' THEN '' ELSE list_reduce(string_split(dest, '/'), lambda a, x:
+    CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) END)
+    || (CASE WHEN starts_with(t, '#') THEN query || t ELSE rest END) END AS t FROM goes),
 e0 AS (SELECT """
     + _FORM.replace("{u}", "url")
     + " AS a, "
     + _FORM.replace("{u}", "t")
-    + r""" AS b FROM l WHERE t LIKE '%://%'),
+    + r""" AS b, translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(t, '://[^/?#]*([^?#]*)', 1) AS path FROM far WHERE t LIKE '%://%'),
+aim AS (SELECT b AS form, arg_max(rules.verdict, length(rules.rule)) AS verdict
+  FROM e0 JOIN rules ON (e0.host = rules.host OR ends_with(e0.host, '.' || rules.host)) AND starts_with(e0.path, rules.path) GROUP BY b, e0.host, e0.path),
 e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
-bad AS (SELECT DISTINCT form FROM p JOIN hit USING (i) WHERE verdict = 'block'),
-good AS (SELECT DISTINCT form FROM p JOIN hit USING (i) WHERE verdict = 'allow'),
+bad AS (SELECT form FROM p JOIN hit USING (i) WHERE verdict = 'block' UNION SELECT form FROM aim WHERE verdict = 'block'),
+good AS (SELECT form FROM p JOIN hit USING (i) WHERE verdict = 'allow' UNION SELECT form FROM aim WHERE verdict = 'allow'),
 rb AS (SELECT form FROM bad UNION SELECT e.b FROM rb JOIN e ON e.a = rb.form),
 ra AS (SELECT form FROM good UNION SELECT e.b FROM ra JOIN e ON e.a = ra.form)
 SELECT page_id, host, path, hit.rule AS rule, CASE WHEN hit.verdict IS NOT NULL THEN hit.verdict

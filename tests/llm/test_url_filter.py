@@ -1,6 +1,11 @@
 """URL rules, redirects and canonical links."""
 
-from quillrec.llm.url_filter import RULES, judge
+import random
+
+import duckdb
+from pyspark.sql import functions as F
+
+from quillrec.llm.url_filter import ORACLE, RULES, judge, resolved
 
 LINK = '<html><head><LINK rel="canonical" href="{}"></head></html>'
 JUMP = """<meta http-equiv='refresh' content='0; url={}'>"""
@@ -51,6 +56,35 @@ def test_rules_reach_targets_that_are_no_rows(spark):
     assert {i for i, v in got.items() if v[1] == "block"} == {1, 2, 3, 4, 7} and {i for i, v in got.items() if v[0]} == {4}
 
 
+def test_relative_targets(spark):
+    base = "http://a.org/b/c/d;p?q#f"
+    want = {
+        "g": "http://a.org/b/c/g", "./g": "http://a.org/b/c/g", "/g": "http://a.org/g", "//g": "http://g", "?y&amp;z": "http://a.org/b/c/d;p?y&z", "g?y/./x": "http://a.org/b/c/g?y/./x",
+        "#s": "http://a.org/b/c/d;p?q#s", "g#s/../x": "http://a.org/b/c/g#s/../x", "../g": "http://a.org/b/g", "../../../g": "http://a.org/g", "g/./h/../i": "http://a.org/b/c/g/i",
+        "x:y://z": "http://a.org/b/c/x:y://z", "?u=http://x.net/es/": "http://a.org/b/c/d;p?u=http://x.net/es/", "https://h/./a": "https://h/./a",
+    }
+    df = spark.createDataFrame([(t, base) for t in want], "t string, url string")
+    assert {r.t: r.to for r in df.select("t", resolved(F.col("t"), F.col("url")).alias("to")).collect()} == want
+
+
+def test_the_sql_says_the_same(spark):
+    """Random pages whose links are absolute, relative, folded, or lead to pages that were never fetched."""
+    rng = random.Random(21)
+    hosts = ("a.org", "b.org", "x.net", "Shop.com", "www.example.com", "c.org")
+    paths = ("/", "/es/1", "/en/x", "/fr/../es/2", "/p/q/r", "", "/p/q/")
+    links = ("../es/1", "/es/2", "./x", "?a=1&amp;b=2", "#top", "//x.net/fr/3", "http://never.net/es/7", "http://never.org/1", "q", "/p/./q/r", "https://Shop.com/1", "../../../es/1")
+    rows = []
+    for i in range(160):
+        html = rng.choice((LINK, JUMP)).format(rng.choice(links) if rng.random() < 0.7 else f"http://{rng.choice(hosts)}{rng.choice(paths)}") if rng.random() < 0.6 else None
+        rows.append((i, f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(('', '?k=' + str(i)))}" if i % 20 else rng.choice((None, "no scheme")), html))
+    got = sorted((tuple(r) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == sorted(con.execute(ORACLE).fetchall(), key=str)
+    assert 10 < sum(v == "block" for *_, v in got) < 150
+
+
 def test_long_chains_and_odd_rows(spark):
     rows = [(i, f"http://h{i}.org/", LINK.format(f"http://h{i + 1}.org/")) for i in range(70)] + [(70, "http://h70.org/", JUMP.format("http://q.net/es/1")), (71, "http://q.net/es/1", None), (71, "http://q.net/es/1", None), (None, "http://h3.org", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
