@@ -74,6 +74,12 @@ def differing_values(left: DataFrame, right: DataFrame, keys: Sequence[str], col
     return out.select(*(f"`{k}`" for k in keys), "cell.column", "cell.left", "cell.right")
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The keys of ``df`` under names of their own, and the condition that a row has them; null keys are equal to each other."""
+    other = df.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)))
+    return other, reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)))
+
+
 def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], expected: Mapping[str, T.DataType] | None = None, limit: int = 10) -> Comparison:
     """Compares two datasets by key: names, types, counts, repeated and missing keys, values.
 
@@ -105,14 +111,14 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], expected: Ma
         n = twice.count()
         if n:
             out.problems.append(f"{side}: {n} duplicate keys")
-            df = df.join(twice.drop("count"), keys, "left_anti")
+            df = df.join(*_keyed(twice, keys), "left_anti")
         unique.append(df)
     for side, a, b in (("right", left, right), ("left", right, left)):
         if n := missing_keys(a.select(*keys).distinct(), b.select(*keys).distinct(), keys).count():
             out.problems.append(f"{side}: {n} keys are missing")
     cells = differing_values(*unique, keys, [c for c in shared if c not in keys])
     out.mismatches = [tuple(r) for r in cells.orderBy(*keys, "column").limit(limit).collect()]
-    out.compared = unique[0].select(*keys).join(unique[1].select(*keys), keys).count()
+    out.compared = unique[0].select(*keys).join(*_keyed(unique[1], keys)).count()
     return out
 
 

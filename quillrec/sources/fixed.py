@@ -9,9 +9,7 @@ to and read on its own, so a file of any size splits without a scan and the inde
 
 from __future__ import annotations
 
-import base64
 import os
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillrec.errors import ConversionError
 from quillrec.functions.vectors import decode_records
-from quillrec.plans.layout import ADDRESSABLE, Layout, compile_copybook, validate_layout
+from quillrec.plans.layout import ADDRESSABLE, Layout, compile_copybook, from_json, to_json, validate_layout
 
 SCHEMA = "record_index long, record binary"
 
@@ -60,7 +58,7 @@ class _Reader(DataSourceReader):
         self.first, self.last = int(options.get("firstrecord", 0)), options.get("lastrecord")
         self.layout = validate_layout(compile_copybook(options["copybook"])) if options.get("decode") == "true" else None
         if "layout" in options:
-            self.layout = pickle.loads(base64.b64decode(options["layout"]))
+            self.layout = validate_layout(from_json(options["layout"]))
         self.drop = options.get("truncated", "error") == "drop"
 
     def partitions(self) -> list[RecordRange]:
@@ -107,7 +105,7 @@ class FixedRecordSource(DataSource):
     def schema(self) -> str | T.StructType:
         options = {k.lower(): v for k, v in self.options.items()}
         if "layout" in options:
-            layout = pickle.loads(base64.b64decode(options["layout"]))
+            layout = validate_layout(from_json(options["layout"]))
         elif options.get("decode") == "true":
             layout = compile_copybook(options["copybook"])
         else:
@@ -135,7 +133,7 @@ def read_records(spark: SparkSession, path: str, layout: Layout | int, **options
 def read_decoded(spark: SparkSession, path: str, layout: Layout, **options) -> DataFrame:
     """record_index and the decoded columns of a local file; any invalid field fails the query, selected or not."""
     register(spark)
-    packed = base64.b64encode(pickle.dumps(validate_layout(layout))).decode()
+    packed = to_json(validate_layout(layout))
     reader = spark.read.format("fixedrec").option("recordLength", layout.record_length).option("layout", packed).option("path", os.fspath(path))
     for k, v in options.items():
         reader = reader.option(k, v)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillrec import cli
 from quillrec.operators.compare import compare, compare_by_position, same_rows, schema_problems
+from quillrec.plans.layout import compile_copybook, from_json, to_json
 from tests.fixtures import COPYBOOK, RECORDS
 
 
@@ -119,3 +120,17 @@ def test_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_null_keys_are_compared_and_counted(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "K long, V string")
+    right = spark.createDataFrame([(1, "a"), (None, "x"), (2, "c")], "K long, V string")
+    got = compare(left, right, ["K"])
+    assert got.compared == 2 and [m[1:] for m in got.mismatches] == [("V", "b", "x")]
+    twice = spark.createDataFrame([(None, "b"), (None, "y")], "K long, V string")
+    assert compare(twice, right, ["K"]).compared == 0
+
+
+def test_layouts_travel_as_json():
+    layout = compile_copybook(COPYBOOK)
+    assert from_json(to_json(layout)) == layout
