@@ -32,6 +32,11 @@ def decode_text(raw: Column) -> Column:
     return F.translate(F.decode(raw, "ISO-8859-1"), CP037_FROM, CP037_TO)
 
 
+def utf8_length(raw: Column) -> Column:
+    """Bytes that CP037 text takes in UTF-8."""
+    return F.octet_length(decode_text(raw))
+
+
 def encode_text(text: Column, length: int) -> Column:
     """CP037 bytes, padded with its space. Characters outside Latin-1 become ``?`` as in the charset's encoder."""
     plain = F.translate(text, CP037_TO, CP037_FROM)

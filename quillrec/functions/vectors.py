@@ -9,15 +9,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from quillrec.plans.layout import BINARY, DISPLAY, TEXT, Field, Layout
+from quillrec.errors import DecodeError
+from quillrec.plans.layout import BINARY, DISPLAY, MAX_TEXT, TEXT, Field, Layout
 
 _CP037 = np.array([ord(c) for c in bytes(range(256)).decode("cp037")], dtype=np.uint16)
 _PLUS = np.isin(np.arange(16), (10, 12, 14, 15))
 _SIGN = np.isin(np.arange(16), (10, 11, 12, 13, 14, 15))
 
 
-def text_array(raw: np.ndarray) -> pa.Array:
-    """CP037 bytes (records x length) as strings: every byte is one character of one or two UTF-8 bytes."""
+def text_array(raw: np.ndarray, most: int = MAX_TEXT) -> pa.Array:
+    """CP037 bytes (records x length) as strings: every byte is one character of one or two UTF-8 bytes, ``most`` bytes in all."""
     n, size = raw.shape
     points = _CP037[raw]
     wide = points >= 128
@@ -32,9 +33,9 @@ def text_array(raw: np.ndarray) -> pa.Array:
         data[ends - 1] = np.where(two, 0x80 | flat & 0x3F, flat)
         data[ends[two] - 2] = 0xC0 | flat[two] >> 6
         offsets = np.concatenate(([0], ends[size - 1 :: size]))
-    if offsets[-1] < 2**31:
-        return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    if offsets[-1] > most:
+        raise DecodeError("CapacityExceeded", resource="the text of one batch")
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def display_values(raw: np.ndarray, f: Field) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +78,22 @@ def number_array(value: np.ndarray, f: Field) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(f.precision, f.scale), len(value), [None, pa.py_buffer(both)])
 
 
+def checked_width(raw: np.ndarray, f: Field) -> np.ndarray:
+    """A field's bytes (records x length), if they are as many as its item has."""
+    if raw.shape[1] != f.byte_length:
+        raise DecodeError("InvalidFieldLength", expected=f.byte_length, actual=raw.shape[1])
+    return raw
+
+
 def decode_records(data, layout: Layout) -> tuple[list[pa.Array], np.ndarray]:
     """Arrays of the layout's columns, and which records have an invalid field."""
+    if len(data) % layout.record_length:
+        raise DecodeError("InvalidBatchLength", actual=len(data), record_length=layout.record_length)
     records = np.frombuffer(data, dtype=np.uint8).reshape(-1, layout.record_length)
     bad = np.zeros(len(records), dtype=bool)
     out = []
     for f in layout.data_fields:
-        raw = records[:, f.offset : f.offset + f.byte_length]
+        raw = checked_width(records[:, f.offset : f.offset + f.byte_length], f)
         if f.encoding == TEXT:
             out.append(text_array(raw))
             continue

@@ -18,6 +18,7 @@ class Comparison:
     """What differs: ``problems`` are texts, ``mismatches`` rows of (key, column, left, right), at most the limit."""
 
     rows: tuple[int, int] = (0, 0)
+    by: str = "key"  # or "position"
     compared: int = 0
     problems: list[str] = field(default_factory=list)
     mismatches: list[tuple] = field(default_factory=list)
@@ -122,6 +123,26 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], expected: Ma
     return out
 
 
+def compare_in_order(left: DataFrame, right: DataFrame, keys: Sequence[str], index: str = "record_index", limit: int = 10) -> Comparison:
+    """Compares by position where both sides have the same keys at the same positions, and by key where they do not.
+
+    ``index`` is the position on both sides. By position, rows may repeat a key; by key, positions are not compared. The choice takes
+    one join on the position.
+    """
+    (left, clash_a), (right, clash_b) = normalized(left), normalized(right)
+    at, names = leaf_name(index), [leaf_name(k) for k in keys]
+    if not clash_a and not clash_b and {at, *names} <= set(left.columns) & set(right.columns):
+        side = lambda df, p: df.select(F.col(f"`{at}`").alias(f"{p}at"), *(F.col(f"`{k}`").alias(f"{p}{i}") for i, k in enumerate(names)))
+        same = reduce(lambda a, b: a & b, (F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(names))))
+        paired = side(left, "a").join(side(right, "b"), F.col("aat") == F.col("bat"), "full_outer")
+        if paired.where(F.col("aat").isNull() | F.col("bat").isNull() | ~same).isEmpty():
+            out = compare(left, right, [at], limit=limit)
+            out.by = "position"
+            return out
+        left, right = left.drop(at), right.drop(at)
+    return compare(left, right, keys, limit=limit)
+
+
 def compare_by_position(left: DataFrame, right: DataFrame, index: str = "record_index", limit: int = 10) -> Comparison:
     """The same with the position of a record as its key."""
     return compare(left, right, [index], limit=limit)

@@ -1,6 +1,6 @@
 """Fixed-length record files as a Spark data source: ``spark.read.format("fixedrec")``.
 
-Options: path (a file, or a folder of files that follow each other by name); copybook (source text) or recordLength; batchRecords (records in an Arrow batch, default 65,536);
+Options: path (a file, or a folder of files that follow each other by name; local, or a URI that pyarrow opens: file, s3, gs, abfs, hdfs); copybook (source text) or recordLength; batchRecords (records in an Arrow batch, default 65,536);
 partitionBytes (default 64 MiB); firstRecord and lastRecord (a range, for resumed jobs); truncated ("error" or "drop");
 decode ("true": the copybook's columns in place of the record; an invalid field fails the scan).
 Rows: record_index (global, zero-based) and record (binary). Each partition is a range of whole records that is sought
@@ -9,18 +9,20 @@ to and read on its own, so a file of any size splits without a scan and the inde
 
 from __future__ import annotations
 
+import errno
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillrec.errors import ConversionError
 from quillrec.functions.vectors import decode_records
-from quillrec.plans.layout import ADDRESSABLE, Layout, compile_copybook, from_json, to_json, validate_layout
+from quillrec.plans.layout import ADDRESSABLE, MAX_TEXT, Layout, compile_copybook, from_json, to_json, validate_layout
 
 SCHEMA = "record_index long, record binary"
 
@@ -35,25 +37,36 @@ def batch_bytes(record_length: int, batch_records: int) -> int:
 
 
 class RecordRange(InputPartition):
-    """``count`` records of a file from its ``first``; the files before it hold ``base``."""
+    """``count`` records of a file (a path within its store) from its ``first``; the files before it hold ``base``."""
 
     def __init__(self, path: str, base: int, first: int, count: int):
         self.path, self.base, self.first, self.count = path, base, first, count
 
 
-def record_files(path: str) -> list[str]:
-    """The file itself, or a folder's visible files in order of their names: one sequence of records."""
-    if not os.path.isdir(path):
-        return [path]
-    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if not n.startswith((".", "_"))]
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a path or URI, and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def record_files(path: str) -> list[tuple[str, int]]:
+    """Path within its store and size of the file itself, or of a folder's visible files in order of their names: one sequence of records."""
+    store, inside = store_of(path)
+    found = store.get_file_info(inside)
+    if found.type == fs.FileType.NotFound:
+        raise FileNotFoundError(errno.ENOENT, os.strerror(errno.ENOENT), path)
+    if found.type != fs.FileType.Directory:
+        return [(inside, found.size)]
+    files = [i for i in store.get_file_info(fs.FileSelector(inside)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
+    return [(i.path, i.size) for i in sorted(files, key=lambda i: i.base_name)]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.size = int(options["recordlength"]) if "recordlength" in options else compile_copybook(options["copybook"]).record_length
         self.batch = int(options.get("batchrecords", 65_536))
         batch_bytes(self.size, self.batch)
+        self.batch = min(self.batch, max(1, MAX_TEXT // (2 * self.size)))  # so that the texts of a batch fit into one Arrow array
         self.partition_bytes = int(options.get("partitionbytes", 64 << 20))
         self.first, self.last = int(options.get("firstrecord", 0)), options.get("lastrecord")
         self.layout = validate_layout(compile_copybook(options["copybook"])) if options.get("decode") == "true" else None
@@ -64,8 +77,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[RecordRange]:
         step = max(1, self.partition_bytes // self.size)
         out, base = [], 0  # base: records in the files before
-        for path in record_files(self.path):
-            total = os.stat(path).st_size
+        for path, total in record_files(self.path):
             if total % self.size and not self.drop:
                 raise ConversionError("TruncatedRecord", byte_offset=total - total % self.size, record_length=self.size, actual=total % self.size)
             n = total // self.size
@@ -78,11 +90,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
-        with open(partition.path, "rb") as f:
+        with store_of(self.path)[0].open_input_file(partition.path) as f:
             f.seek(partition.first * self.size)
             for at in range(partition.first, partition.first + partition.count, self.batch):
                 n = min(self.batch, partition.first + partition.count - at)
-                data = f.read(n * self.size)
+                data = f.read_buffer(n * self.size)
                 if len(data) != n * self.size:
                     raise ConversionError("TruncatedRecord", byte_offset=at * self.size + len(data) // self.size * self.size, record_length=self.size, actual=len(data) % self.size)
                 index = pa.array(np.arange(at, at + n) + partition.base)
@@ -93,7 +105,7 @@ class _Reader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([index, *columns], ["record_index", *(c.name for c in self.layout.columns)])
                     continue
                 # one buffer, cut without copying
-                fixed = pa.Array.from_buffers(pa.binary(self.size), n, [None, pa.py_buffer(data)])
+                fixed = pa.Array.from_buffers(pa.binary(self.size), n, [None, data])
                 yield pa.RecordBatch.from_arrays([index, fixed.cast(pa.binary())], ["record_index", "record"])
 
 
@@ -121,7 +133,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_records(spark: SparkSession, path: str, layout: Layout | int, **options) -> DataFrame:
-    """record_index and record of a local file. ``layout`` may be just the record length."""
+    """record_index and record of a file or folder (see the options above). ``layout`` may be just the record length."""
     register(spark)
     size = layout if isinstance(layout, int) else layout.record_length
     reader = spark.read.format("fixedrec").option("recordLength", size).option("path", os.fspath(path))
@@ -131,7 +143,7 @@ def read_records(spark: SparkSession, path: str, layout: Layout | int, **options
 
 
 def read_decoded(spark: SparkSession, path: str, layout: Layout, **options) -> DataFrame:
-    """record_index and the decoded columns of a local file; any invalid field fails the query, selected or not."""
+    """record_index and the decoded columns of a file or folder; any invalid field fails the query, selected or not."""
     register(spark)
     packed = to_json(validate_layout(layout))
     reader = spark.read.format("fixedrec").option("recordLength", layout.record_length).option("layout", packed).option("path", os.fspath(path))
@@ -163,7 +175,7 @@ def write_records(df: DataFrame, folder: str, record: str = "record") -> None:
 
 
 def read_records_remote(spark: SparkSession, path: str, layout: Layout | int, partition_bytes: int = 64 << 20) -> DataFrame:
-    """The same from any store that Spark reads, by Hadoop's fixed-length input format.
+    """The same from a store that only Spark reads, by Hadoop's fixed-length input format.
 
     Splits hold whole records. A record's index follows from its file's split lengths; a file whose length is no multiple of the
     record length is refused before the read.
