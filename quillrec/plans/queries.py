@@ -15,7 +15,6 @@ from quillrec.plans.layout import Layout, compile_copybook
 from quillrec.sources import parts
 from quillrec.sources.convert import convert_dataset
 from quillrec.sources.fixed import read_decoded, read_records, write_records
-from quillrec.sources.protect import FRAME
 from quillrec.sources.storage import working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,11 +334,6 @@ def empty_input(spark, sf_dir):
     return spark.read.parquet(out).toDF(*lineitem_values())
 
 
-@query("SELECT sha256(text) AS digest, octet_length(encode(text)) AS bytes FROM documents")
-def sha256_identity(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
-
-
 # ---------------------------------------------------------------- comparison
 
 
@@ -382,30 +376,6 @@ def differential_duplicate_keys(spark, sf_dir):
     return compare.duplicate_keys(left, ["orderkey"]).withColumnRenamed("count", "n")
 
 
-# ---------------------------------------------------------------- protection
-
-
-@query(
-    "SELECT doc_id, greatest(1, (octet_length(encode(text)) + 1048575) // 1048576) AS frames, 1179 + octet_length(encode(text)) +"
-    " 16 * greatest(1, (octet_length(encode(text)) + 1048575) // 1048576) AS envelope FROM documents"
-)
-def frame_plan(spark, sf_dir):
-    size = F.octet_length("text").cast("long")
-    frames = F.greatest(F.lit(1).cast("long"), F.floor((size + FRAME - 1) / FRAME))
-    return table(spark, sf_dir, "documents").select("doc_id", frames.alias("frames"), (1179 + size + 16 * frames).alias("envelope"))
-
-
-@query("SELECT doc_id, text FROM documents")
-def aead_roundtrip(spark, sf_dir):
-    """Every text sealed as a frame of its own under a test key, and opened again."""
-    key, aad = F.lit(bytearray(range(32))), F.lit(bytearray(b"header"))
-    iv = F.unhex(F.lpad(F.hex("doc_id"), 24, "0"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", iv.alias("iv"), F.aes_encrypt(F.col("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv, aad).alias("sealed"))
-    frame = F.substring("sealed", 13, 1 << 30)
-    opened = F.aes_decrypt(F.concat("iv", frame), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
-    return rows.select("doc_id", opened.cast("string").alias("text"))
-
-
 # ---------------------------------------------------------------- queries over decoded records
 
 
