@@ -2,13 +2,17 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrec import cli
-from quillrec.operators.compare import compare, compare_by_position, same_rows, schema_problems
+from quillrec.errors import DecodeError
+from quillrec.functions import vectors
+from quillrec.operators.compare import compare, compare_by_position, compare_in_order, same_rows, schema_problems
 from quillrec.plans.layout import compile_copybook, from_json, to_json
+from quillrec.sources.fixed import read_decoded, record_files
 from tests.fixtures import COPYBOOK, RECORDS
 
 
@@ -134,3 +138,41 @@ def test_null_keys_are_compared_and_counted(spark):
 def test_layouts_travel_as_json():
     layout = compile_copybook(COPYBOOK)
     assert from_json(to_json(layout)) == layout
+
+
+def test_order_decides_how_rows_are_compared(spark):
+    side = lambda rows: spark.createDataFrame(rows, "record_index long, k long, v long")
+    left = side([(0, 1, 10), (1, 1, 20), (2, None, 30)])  # keys may repeat and be null where positions decide
+    got = compare_in_order(left, side([(2, None, 31), (0, 1, 10), (1, 1, 20)]), ["k"])
+    assert got.by == "position" and got.compared == 3 and got.mismatches == [(2, "V", "30", "31")]
+    a = side([(0, 1, 10), (1, 2, 20)])
+    got = compare_in_order(a, side([(0, 2, 20), (1, 1, 11)]), ["k"])
+    assert got.by == "key" and got.mismatches == [(1, "V", "10", "11")]
+    assert "row counts differ: 2 and 1" in compare_in_order(a, side([(0, 1, 10)]), ["k"]).problems
+    assert compare_in_order(side([]), side([]), ["k"]).equal
+
+
+def test_widths_and_capacity():
+    layout = compile_copybook(COPYBOOK)
+    text = np.full((3, 10), 0x40, dtype=np.uint8)
+    for run, kind in (
+        (lambda: vectors.checked_width(text, layout.fields[1]), "InvalidFieldLength"),
+        (lambda: vectors.text_array(text, most=29), "CapacityExceeded"),
+        (lambda: vectors.decode_records(RECORDS[:-1], layout), "InvalidBatchLength"),
+    ):
+        with pytest.raises(DecodeError) as e:
+            run()
+        assert e.value.kind == kind
+    assert vectors.text_array(text, most=30).to_pylist() == [" " * 10] * 3
+
+
+def test_files_by_uri(spark, tmp_path):
+    layout, folder = compile_copybook(COPYBOOK), tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("b", 2), ("a", 1), (".hidden", 5), ("c", 0)):
+        (folder / name).write_bytes(RECORDS * n)
+    for path in (str(folder), f"file://{folder}"):
+        assert sorted(r[0] for r in read_decoded(spark, path, layout, partitionBytes=70).select("record_index").collect()) == list(range(9))
+    assert record_files(f"file://{folder}") == [(str(folder / n), 105 * k) for n, k in (("a", 1), ("b", 2), ("c", 0))]
+    with pytest.raises(FileNotFoundError):
+        record_files(str(tmp_path / "none"))
