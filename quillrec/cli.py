@@ -108,9 +108,9 @@ def _convert(spark, command: str, values: dict[str, str], resume: bool, report:
     report.record_length = layout.record_length
     report.error_category = "recovery" if parts else "conversion"
     if parts:
-        convert_parts(spark(), layout, source, values["--output-dir"], batch, resume)
+        convert_parts(Later(spark), layout, source, values["--output-dir"], batch, resume)
     else:
-        convert_file(spark(), layout, source, values["--output"], batch)
+        convert_file(Later(spark), layout, source, values["--output"], batch)
         report.output_bytes = _file_size(values["--output"])
     if report.input_bytes is not None:
         report.dataset_records = report.input_bytes // layout.record_length
@@ -134,6 +134,18 @@ def _protection(spark, command: str, values: dict[str, str], report: Report) ->
     report.publication = outcome
 
 
+class Later:
+    """A session that starts when something of it is first used: a small file that is good needs none."""
+
+    def __init__(self, start):
+        self._start, self._session = start, None
+
+    def __getattr__(self, name: str):
+        if self._session is None:
+            self._session = self._start()
+        return getattr(self._session, name)
+
+
 def session():
     from pyspark.sql import SparkSession
 
