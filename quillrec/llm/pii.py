@@ -179,18 +179,21 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with every span of personal data replaced by its kind in angle brackets.
 
     Spans that touch each other become one, named after the first. n_chars, where there is such a column, is counted anew.
+    Other columns may have any names.
     """
+    taken = {n.lower() for n in docs.columns}
+    cut_d, cut_absent, cut_th, cuts_of = ("_" * max(map(len, taken)) + n for n in ("d", "absent", "th", "cuts"))  # longer than any name
     _, spans = spans_of(docs)
     order = F.array_position(F.array(*map(F.lit, (*KINDS, CONTEXT))), F.col("kind"))
     by = Window.partitionBy(*KEY).orderBy("start", order)
     spans = spans.withColumn("new", F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True)))
     spans = spans.withColumn("island", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     islands = spans.groupBy(*KEY, "island").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.min_by("kind", F.struct("start", order)).alias("kind"))
-    cuts = islands.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind"))).alias("__cuts"))
-    cuts = cuts.select(F.col("d").alias("__d"), F.col("absent").alias("__absent"), F.col("th").alias("__th"), "__cuts")
+    cuts = islands.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind"))).alias(cuts_of))
+    cuts = cuts.select(F.col("d").alias(cut_d), F.col("absent").alias(cut_absent), F.col("th").alias(cut_th), cuts_of)
     text = text_of()
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__d")) & (F.col("doc_id").isNull() == F.col("__absent")) & (F.xxhash64(text) == F.col("__th"))
-    c = F.col("__cuts")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col(cut_d)) & (F.col("doc_id").isNull() == F.col(cut_absent)) & (F.xxhash64(text) == F.col(cut_th))
+    c = F.col(cuts_of)
     piece = F.transform(c, lambda x, i: F.concat(_slice(text, F.coalesce(F.get(c, i - 1)["b"], F.lit(0)), x["a"]), F.lit("<"), x["kind"], F.lit(">")))
     clean = F.concat(F.array_join(piece, ""), _slice(text, F.get(c, F.size(c) - 1)["b"], F.length(text)))
     out = docs.join(cuts, same, "left").withColumn("text", F.when(c.isNotNull(), clean).otherwise(F.col("text")))
