@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
     """Fits on at most ``sample`` labelled documents, those with the smallest hash of their doc_id.
 
     Only rows of fold 1 to 4 (crc32 of the doc_id as text, mod 5) are learned from. Several labels of a document count
-    as their rounded mean; null labels and null doc_ids are left out. The sample bounds what is broadcast and collected.
+    as their rounded mean; null labels and null doc_ids are left out. Of several texts of a doc_id the one with the smallest hash
+    counts, so that the sample bounds what is broadcast and collected, however often a doc_id is repeated.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null")
@@ -151,11 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "id": pdf["id"], "x": list(statistics(pdf["text"].tolist()))})
+            yield pd.DataFrame({"y": pdf["y"], "id": pdf["id"], "h": pdf["h"], "x": list(statistics(pdf["text"].tolist()))})
 
     rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.col("doc_id").cast("long").alias("id"), "y", "text").mapInPandas(run, "y double, id long, x array<double>")
-    got = rows.toPandas()
+    rows = rows.select(F.col("doc_id").cast("long").alias("id"), "y", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInPandas(run, "y double, id long, h long, x array<double>")
+    got = rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct("h", "x")).alias("t")).select("id", "y", F.col("t.x").alias("x")).toPandas()
     if not len(got):
         return fit(np.zeros((0, FEATURES)), np.zeros(0))
     x, y, ids = np.stack(got["x"].to_numpy()), got["y"].to_numpy(), got["id"].to_numpy()

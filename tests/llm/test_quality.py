@@ -1,5 +1,6 @@
 """Quality classifier and quality rules."""
 
+import math
 import random
 import re
 import zlib
@@ -45,6 +46,79 @@ def test_fit_without_both_labels():
     assert np.isfinite(qc.fit(np.ones((9, 3)), np.arange(9) % 2.0).score(np.ones((2, 3)))).all()
 
 
+def brute_tree(x, y, margin, depth, bins, rate, least, l2):
+    """The margins that one tree adds, from every split of every node tried in turn: (gain, feature, cut), the first best wins."""
+    p = 1 / (1 + np.exp(-margin))
+    g, h = y - p, p * (1 - p)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    out = np.zeros(len(y))
+
+    def grow(rows, level):
+        best = (1e-6, None, None)
+        for f in range(x.shape[1]) if level < depth else ():
+            for cut in cuts[f]:
+                low = rows[x[rows, f] <= cut]
+                high = rows[x[rows, f] > cut]
+                if h[low].sum() < least or h[high].sum() < least:
+                    continue
+                part = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)
+                gain = part(low) + part(high) - part(rows)
+                if gain > best[0] * (1 + 1e-9):
+                    best = (gain, f, cut)
+        if best[1] is None:
+            out[rows] = rate * g[rows].sum() / (h[rows].sum() + l2)
+            return
+        _, f, cut = best
+        grow(rows[x[rows, f] <= cut], level + 1)
+        grow(rows[x[rows, f] > cut], level + 1)
+
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+def test_trees_equal_a_search_of_all_splits():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(160, 3)), rng.integers(3, size=160), np.ones(160)])
+    y = (x[:, 0] + (x[:, 3] == 1) + 0.3 * rng.normal(size=160) > 0.5).astype(float)
+    options = {"depth": 3, "bins": 8, "rate": 0.3, "least": 2.0, "l2": 1.0}
+    model = qc.fit(x, y, rounds=4, **options)
+    margin = np.full(len(y), model.prior)
+    for _ in range(4):
+        margin = margin + brute_tree(x, y, margin, **options)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-margin)), atol=1e-12)
+
+
+def test_statistics_by_hand():
+    text = "The cat\nthe CAT! 12\n\nThe cat\né"
+    data = text.encode()
+    x = qc.statistics([text, "", text])
+    assert (x[1] == 0).all() and (x[0] == x[2]).all()
+    share = [sum(b in c for b in data) / len(data) for c in qc._CLASSES]
+    words, lines = data.split(), [b"The cat", b"the CAT! 12", b"The cat", "é".encode()]
+    size = [len(w) for w in words]
+    mean = sum(size) / 8
+    want = [
+        *share, math.log(1 + len(data)), math.log(9), mean, max(size), (sum((s - mean) ** 2 for s in size) / 8) ** 0.5, 6 / 8, 6 / 7,
+        1 / 8, math.log(5), 3 / 4, 8 / 4, 1 / 8, 3 / 6,
+    ]
+    assert len(words) == 8 and np.allclose(x[0], want)
+
+
+def test_sample_bounds_repeated_doc_ids(spark):
+    """A doc_id that holds most rows gives one row to the fit, in whatever order its texts come."""
+    rows = [(7, f"word {i}") for i in range(300)] + [(i, f"text number {i}") for i in range(8, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 40)], "doc_id long, quality int")
+    seen = []
+    real = qc.fit
+    qc.fit = lambda x, y: seen.append((x.tolist(), y.tolist())) or real(x, y)
+    try:
+        for some in (rows, rows[::-1]):
+            qc.train(spark.createDataFrame(some, "doc_id long, text string").repartition(3), labels)
+    finally:
+        qc.fit = real
+    assert seen[0] == seen[1] and len(seen[0][1]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7, 40))
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = {r.doc_id: r for r in qc.classify(docs, labels).collect()}
