@@ -40,16 +40,11 @@ def layout_of(**fields: str) -> Layout:
     return compile_copybook("\n".join(lines) + "\n")
 
 
-#: Tables that are worth spreading over all cores where one file has few splits.
-_LARGE = ("lineitem", "orders", "documents")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the test data, spread over all cores where its files have fewer splits than that."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in _LARGE and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def encoded(df: DataFrame, layout: Layout, keep: tuple[str, ...] = (), **values: Column) -> DataFrame:

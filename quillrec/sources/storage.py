@@ -14,9 +14,11 @@ _made: list[str] = []
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A new local path under spark.checkpoint.dir; under a temporary folder only where that is unset. Removed at exit."""
+    """A new local path under spark.checkpoint.dir; in local mode under a temporary folder where that is unset. Removed at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quillrec-")
         spark.conf.set("spark.checkpoint.dir", base)
     top = os.path.join(base.removeprefix("file://").rstrip("/"), f"quillrec-{uuid.uuid4().hex}")
