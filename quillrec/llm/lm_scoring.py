@@ -19,6 +19,8 @@ END = np.uint64(0)
 SHAPES = ("digit", "other", "stop", "short", "long")
 #: Words that a task gathers before it counts them.
 GATHERED = 700_000
+#: Words that are clustered on the driver, words of the head, and classes, each for the eighth root of the training tokens.
+CLUSTERED, HEAD, CLASSES = 250, 150_000, 6.6
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, fixed: int,
 
 @dataclass
 class Model:
-    """What the tasks need: bounded by the head's size, whatever the corpus."""
+    """What the tasks need: 18 bytes for each word of the head, and a table of classes."""
 
     keys: np.ndarray  # the head words' hashes, ascending
     count: np.ndarray  # training count of each
@@ -159,19 +161,18 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 def bigram_counts(tokens: DataFrame, keys: np.ndarray, symbol: np.ndarray, known: int) -> DataFrame:
     """Counts (a, b, n) of adjacent symbols: ``symbol`` of a word in ``keys``, ``known`` plus its shape of any other. The end opens
-    and closes every text. Each task sums all its texts in one table of symbols by symbols."""
+    and closes every text. A task counts about ``GATHERED`` tokens at a time, so its memory does not grow with the symbols."""
     size = known + len(SHAPES)
     shared = tokens.sparkSession.sparkContext.broadcast((keys, symbol.astype(np.int32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (keys, symbol), table = shared.value, np.zeros(size * size, dtype=np.int64)
+        keys, symbol = shared.value
         end = symbol[place_in(keys, np.array([END]))]
         for h, s in _gathered(batches):
             at = place_in(keys, h)
             x = np.concatenate((end, np.where(at >= 0, symbol[at], s.astype(np.int64) + known)))
-            table += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-        filled = np.flatnonzero(table)
-        yield pd.DataFrame({"a": (filled // size).astype(np.int32), "b": (filled % size).astype(np.int32), "n": table[filled]})
+            pair, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
+            yield pd.DataFrame({"a": (pair // size).astype(np.int32), "b": (pair % size).astype(np.int32), "n": n})
 
     return tokens.select("h", "s").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -233,21 +234,23 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(counts: DataFrame, tokens: DataFrame, clustered: int = 1200, head: int = 1_000_000, classes: int | None = None) -> Model:
+def train(counts: DataFrame, tokens: DataFrame, clustered: int | None = None, head: int | None = None, classes: int | None = None) -> Model:
     """Fits the model from the training texts (``tokens``, as ``tokenised`` gives them) and their ``word_counts``.
 
     1. The ``clustered`` most frequent words are put into classes by exchange on the driver, over bigram counts of the whole
-       training part (at most (clustered + 5) squared pairs reach it).
+       training part (at most (clustered + 5) squared pairs reach it, which grows with the fourth root of the tokens).
     2. All other words of the head go through a distributed exchange step against these classes (``exchanged``).
     3. Class bigrams of all tokens are counted with the classes of all words.
 
     The head is the ``head`` most frequent words, found by a bound on their counts, so that nothing is ordered in one task; the
     model keeps 18 bytes for each. Words outside it, and those that never stand beside a clustered word, belong to one of five
-    classes by their shape. The number of classes is the fourth root of the number of tokens, 2 to 256, unless given.
+    classes by their shape. Unless given, all three numbers grow with the eighth root of the number of training tokens, without a
+    bound: ``CLUSTERED``, ``HEAD`` and ``CLASSES`` times that root.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = int(row.n or 0), int(row.v or 0)
-    classes = classes or max(2, min(256, round(total**0.25)))
+    root = max(total, 1) ** 0.125
+    clustered, head, classes = clustered or round(CLUSTERED * root), head or round(HEAD * root), classes or max(2, round(CLASSES * root))
     least = _least_count(counts, head)
     top = counts.where((F.col("n") >= least) | (F.col("h") == int(END))).toArrow()
     keys, shape, number = top.column("h").to_numpy().view(np.uint64), top.column("s").to_numpy(), top.column("n").to_numpy().astype(np.int64)
@@ -345,7 +348,7 @@ def named(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 1200, head: int = 1_000_000, classes: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int | None = None, head: int | None = None, classes: int | None = None) -> DataFrame:
     """Scores every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learned from the rows whose fold (crc32 of the doc_id as text, mod 5) is not ``held_out_fold``. Null texts count as
@@ -354,7 +357,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int = 12
 
     P(text) = product over tokens of P(class | class before) P(word | class), both with 0.5 added to every count, all unseen words
     of a shape being one word: for each class the probabilities of what can follow add up to 1. Texts are split once; words are
-    64-bit hashes from then on. The words that are not in the bounded head are joined with the counts of the whole corpus,
+    64-bit hashes from then on. The words that are not in the head are joined with the counts of the whole corpus,
     pre-aggregated by document.
     """
     tokens = stored(tokenised(named(docs, held_out_fold)), "tokens")
