@@ -19,8 +19,8 @@ END = np.uint64(0)
 SHAPES = ("digit", "other", "stop", "short", "long")
 #: Words that a task gathers before it counts them.
 GATHERED = 700_000
-#: Words that are clustered on the driver, words of the head, and classes, each for the eighth root of the training tokens.
-CLUSTERED, HEAD, CLASSES = 250, 150_000, 6.6
+#: Words that are clustered on the driver, and classes, each for the eighth root of the training tokens.
+CLUSTERED, CLASSES = 250, 6.6
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +234,7 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(counts: DataFrame, tokens: DataFrame, clustered: int | None = None, head: int | None = None, classes: int | None = None) -> Model:
+def train(counts: DataFrame, tokens: DataFrame, clustered: int | None = None, head: int = 1_000_000, classes: int | None = None) -> Model:
     """Fits the model from the training texts (``tokens``, as ``tokenised`` gives them) and their ``word_counts``.
 
     1. The ``clustered`` most frequent words are put into classes by exchange on the driver, over bigram counts of the whole
@@ -244,13 +244,13 @@ def train(counts: DataFrame, tokens: DataFrame, clustered: int | None = None, he
 
     The head is the ``head`` most frequent words, found by a bound on their counts, so that nothing is ordered in one task; the
     model keeps 18 bytes for each. Words outside it, and those that never stand beside a clustered word, belong to one of five
-    classes by their shape. Unless given, all three numbers grow with the eighth root of the number of training tokens, without a
-    bound: ``CLUSTERED``, ``HEAD`` and ``CLASSES`` times that root.
+    classes by their shape. ``head`` is the bound of what is broadcast. Unless given, the numbers of clustered words and of classes grow with
+    the eighth root of the number of training tokens, without a bound: ``CLUSTERED`` and ``CLASSES`` times that root.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = int(row.n or 0), int(row.v or 0)
     root = max(total, 1) ** 0.125
-    clustered, head, classes = clustered or round(CLUSTERED * root), head or round(HEAD * root), classes or max(2, round(CLASSES * root))
+    clustered, classes = clustered or round(CLUSTERED * root), classes or max(2, round(CLASSES * root))
     least = _least_count(counts, head)
     top = counts.where((F.col("n") >= least) | (F.col("h") == int(END))).toArrow()
     keys, shape, number = top.column("h").to_numpy().view(np.uint64), top.column("s").to_numpy(), top.column("n").to_numpy().astype(np.int64)
@@ -348,7 +348,7 @@ def named(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int | None = None, head: int | None = None, classes: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int | None = None, head: int = 1_000_000, classes: int | None = None) -> DataFrame:
     """Scores every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learned from the rows whose fold (crc32 of the doc_id as text, mod 5) is not ``held_out_fold``. Null texts count as
@@ -357,7 +357,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, clustered: int | No
 
     P(text) = product over tokens of P(class | class before) P(word | class), both with 0.5 added to every count, all unseen words
     of a shape being one word: for each class the probabilities of what can follow add up to 1. Texts are split once; words are
-    64-bit hashes from then on. The words that are not in the head are joined with the counts of the whole corpus,
+    64-bit hashes from then on. The words that are not in the bounded head are joined with the counts of the whole corpus,
     pre-aggregated by document.
     """
     tokens = stored(tokenised(named(docs, held_out_fold)), "tokens")
