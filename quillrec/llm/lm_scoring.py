@@ -18,9 +18,9 @@ END = np.uint64(0)
 #: Classes of the words that no context has put into a class, by their shape (fixed values).
 SHAPES = ("digit", "other", "stop", "short", "long")
 #: Words that a task gathers before it counts them.
-GATHERED = 700_000
+GATHERED = 500_000
 #: Words that are clustered on the driver, and classes, each for the eighth root of the training tokens.
-CLUSTERED, CLASSES = 250, 6.6
+CLUSTERED, CLASSES = 180, 6.6
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
